@@ -24,6 +24,26 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mpeg import media_features
+
+    out = media_features(table(spark, sf_dir, "documents"))
+    found = F.concat_ws(":", "frames", "samples", "rate", "duration_s", F.sha2("seek_offsets", 256), "table_ok", "crc_checked", "crc_bad", "skipped")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", found.alias("feature"))
+
+
+def op4_rotate_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.dialogue import rotate_perspectives
+
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.addquant import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import simhash_groups
 
@@ -31,6 +51,12 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _rotation_sql() -> str:
+    from tessera.llm.dialogue import ORACLE
+
+    return ORACLE.replace("{conversations}", "conversations")
+
+
 def _mixing_sql() -> str:
     from tessera.llm.mixing import ORACLE
 
@@ -40,7 +66,13 @@ def _mixing_sql() -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
+    "op3_mpeg_audio": op3_mpeg_audio,
+    "op4_rotate_perspectives": op4_rotate_perspectives,
+    "op5_additive_quantisation": op5_additive_quantisation,
     "op10_simhash_groups": op10_simhash_groups,
 }
 
-ORACLES: dict[str, Callable[[], str]] = {"op1_mix_sources": _mixing_sql}
+ORACLES: dict[str, Callable[[], str]] = {
+    "op1_mix_sources": _mixing_sql,
+    "op4_rotate_perspectives": _rotation_sql,
+}
