@@ -25,9 +25,9 @@ from tessera.session import durable, ship
 
 #: Vectors that the codebooks are fitted on at most, by hash of the id: the documented bound of the sample.
 SAMPLE_ROWS = 8192
-BOOKS, WORDS, BEAM, ROUNDS = 16, 64, 6, 3
+BOOKS, WORDS, BEAM, ROUNDS = 32, 64, 4, 2
 #: Candidates a query reranks, queries in a block, codes in a packed row.
-RERANK, QUERY_BLOCK, CODE_BLOCK = 200, 256, 2048
+RERANK, QUERY_BLOCK, CODE_BLOCK = 256, 256, 2048
 
 
 @dataclass
