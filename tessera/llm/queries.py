@@ -44,6 +44,12 @@ def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licences import scan_licences
+
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import simhash_groups
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mpeg_audio": op3_mpeg_audio,
     "op4_rotate_perspectives": op4_rotate_perspectives,
     "op5_additive_quantisation": op5_additive_quantisation,
+    "op9_licence_scan": op9_licence_scan,
     "op10_simhash_groups": op10_simhash_groups,
 }
 
