@@ -10,8 +10,9 @@ phrases. Base phrases are templates whose words must all stand.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,9 +68,43 @@ def _literal(values: Sequence) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _stands(words: Column, at: Column, phrase: Sequence[str]) -> Column:
-    """Whether phrase stands in words from 0-based place at."""
-    return F.slice(words, at + 1, F.lit(len(phrase))) == _literal(phrase)
+def _at(start: Column, n: int) -> Column:
+    """n words of the file from 0-based place start."""
+    return F.slice(F.col("l_words"), start + 1, F.lit(n))
+
+
+def _starts(t: Template, j: int) -> Column:
+    """Places where t would start, judged by the file's postings of its j-th word."""
+    word, rest = t.words[j], len(t.words) - j
+    own = F.filter("l_post", lambda x: (x["w"] == word) & (x["i"] >= j) & (x["i"] + rest <= F.size("l_words")))
+    return F.transform(own, lambda x: x["i"] - j)
+
+
+def _stands(phrase: Sequence[str]) -> Callable[[Column], Column]:
+    """Whether the whole phrase stands at a place."""
+    return lambda start: _at(start, len(phrase)) == _literal(phrase)
+
+
+def _keyed(t: Template) -> Callable[[Column], Column]:
+    """Whether t's mandatory phrases stand within its words at a place."""
+
+    def check(start: Column) -> Column:
+        part = F.concat(F.lit(" "), F.array_join(_at(start, len(t.words)), " "), F.lit(" "))
+        return reduce(lambda a, key: a & part.contains(f" {key} "), t.keys, F.lit(True))
+
+    return check
+
+
+def _share(t: Template, weight: dict[str, float]) -> Callable[[Column], Column]:
+    """Share of t's weight that stands at its places, to six decimals."""
+    whole = sum(weight[w] for w in t.words)
+    own = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(weight[w] / whole).alias("x")) for w in t.words])
+
+    def share(start: Column) -> Column:
+        there = F.zip_with(_at(start, len(t.words)), own, lambda a, b: F.when(a == b["w"], b["x"]).otherwise(0.0))
+        return F.round(F.aggregate(there, F.lit(0.0), lambda total, x: total + x), 6)
+
+    return share
 
 
 def rarity(df: DataFrame, vocabulary: Sequence[str], text_col: str) -> dict[str, float]:
@@ -116,33 +151,14 @@ def scan_licences(
     )
     rows = rows.select("l_id", "l_words", postings.alias("l_post"))
 
-    def starts(word: str, j: int, t: Template) -> Column:
-        """Places where t would start, judged by its j-th word."""
-        own = F.filter("l_post", lambda x: (x["w"] == word) & (x["i"] >= j) & (x["i"] + (len(t.words) - j) <= F.size("l_words")))
-        return F.transform(own, lambda x: x["i"] - j)
-
     columns = {}
     for k, (t, js) in enumerate(indexed):
-        votes = F.array_distinct(F.concat(*[starts(t.words[j], j, t) for j in js]))
+        votes = F.array_distinct(F.concat(*[_starts(t, j) for j in js]))
         if t.base:
-            hits = F.filter(votes, lambda s, t=t: _stands(F.col("l_words"), s, t.words))
-            columns[f"b{k}"] = F.coalesce(hits, F.array().cast("array<int>"))
+            columns[f"b{k}"] = F.coalesce(F.filter(votes, _stands(t.words)), F.array().cast("array<int>"))
         else:
-            whole = sum(weight[w] for w in t.words)
-
-            def share(s: Column, t: Template = t, whole: float = whole) -> Column:
-                there = F.zip_with(F.slice(F.col("l_words"), s + 1, F.lit(len(t.words))), F.array(*[F.struct(F.lit(w).alias("w"), F.lit(weight[w] / whole).alias("x")) for w in t.words]), lambda a, b: F.when(a == b["w"], b["x"]).otherwise(0.0))
-                return F.aggregate(there, F.lit(0.0), lambda a, x: a + x)
-
-            def keyed(s: Column, t: Template = t) -> Column:
-                part = F.concat(F.lit(" "), F.array_join(F.slice(F.col("l_words"), s + 1, F.lit(len(t.words))), " "), F.lit(" "))
-                out = F.lit(True)
-                for key in t.keys:
-                    out = out & part.contains(f" {key} ")
-                return out
-
-            checked = F.transform(F.filter(votes, keyed), share)
-            columns[f"n{k}"] = F.coalesce(F.array_max(F.filter(checked, lambda x: x >= coverage - 1e-9)), F.lit(0.0))
+            checked = F.transform(F.filter(votes, _keyed(t)), _share(t, weight))
+            columns[f"n{k}"] = F.coalesce(F.array_max(F.filter(checked, lambda x: x >= coverage)), F.lit(0.0))
     found = rows.select("l_id", F.size("l_words").cast("long").alias("n_words"), *[c.alias(n) for n, c in columns.items()])
     places = F.concat(*[F.col(f"b{k}") for k, (t, _) in enumerate(indexed) if t.base])
     labels = lambda some: F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*some), lambda x: x.isNotNull()))), ",")
