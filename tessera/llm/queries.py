@@ -44,6 +44,18 @@ def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.unigram import sentencepiece_digest
+
+    return sentencepiece_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.wavelet import token_shards
+
+    return token_shards(table(spark, sf_dir, "documents"))
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.licences import scan_licences
 
@@ -75,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mpeg_audio": op3_mpeg_audio,
     "op4_rotate_perspectives": op4_rotate_perspectives,
     "op5_additive_quantisation": op5_additive_quantisation,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_wavelet_shards": op7_wavelet_shards,
     "op9_licence_scan": op9_licence_scan,
     "op10_simhash_groups": op10_simhash_groups,
 }

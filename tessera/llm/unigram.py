@@ -24,18 +24,19 @@ from pyspark.sql.functions import pandas_udf
 from tessera.session import ship
 
 MARK = "▁"
-#: Stretches that a worker remembers; longer stretches than MEMO_CHARS are not kept.
-MEMO, MEMO_CHARS = 300_000, 64
+#: Stretches in each of the two generations that a worker remembers; longer stretches than MEMO_CHARS are not kept.
+MEMO, MEMO_CHARS = 250_000, 64
 #: Characters that one batch of Viterbi holds in its tables at most (padding included).
 BATCH_CHARS = 1 << 16
 #: How far below the lowest score of any piece an unknown character scores (fixed value of the format).
 UNKNOWN_PENALTY = 10.0
 
 
-def read_model(data: bytes) -> list[tuple[str, float, int]]:
-    """(piece, score, type) of a serialized model: field 1, repeated, holds piece 1, score 2 and type 3.
+def read_model(data: bytes) -> tuple[list[tuple[str, float, int]], int]:
+    """(piece, score, type) of a serialized model, and its kind.
 
-    Types: 1 normal, 2 unknown, 3 control, 4 user-defined, 5 unused, 6 byte.
+    Field 1, repeated, holds piece 1, score 2 and type 3 (1 normal, 2 unknown, 3 control, 4 user-defined, 5 unused, 6
+    byte); field 2 holds the kind in 3 (1 unigram, 2 merges).
     """
 
     def fields(buf: bytes):
@@ -56,8 +57,10 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
                 value, at = _varint(buf, at)
                 yield key >> 3, value
 
-    out = []
+    out, model_kind = [], 1
     for number, value in fields(data):
+        if number == 2:
+            model_kind = next((v for n, v in fields(value) if n == 3), 1)
         if number == 1:
             piece, score, kind = "", 0.0, 1
             for n, v in fields(value):
@@ -68,7 +71,17 @@ def read_model(data: bytes) -> list[tuple[str, float, int]]:
                 elif n == 3:
                     kind = v
             out.append((piece, score, kind))
-    return out
+    return out, model_kind
+
+
+def log_scores(scores: np.ndarray, model_kind: int) -> np.ndarray:
+    """Log probabilities: a unigram model's scores as they are; of a merge model, whose scores only rank the pieces, by
+    Zipf's law on the rank."""
+    if model_kind == 1 or not len(scores):
+        return scores
+    rank = np.empty(len(scores))
+    rank[np.argsort(-scores, kind="stable")] = np.arange(1, len(scores) + 1)
+    return -np.log(rank) - np.log((1 / np.arange(1, len(scores) + 1)).sum())
 
 
 def _varint(buf: bytes, at: int) -> tuple[int, int]:
@@ -91,6 +104,14 @@ class DoubleArray:
     check: np.ndarray
     leaf: np.ndarray
     depth: int
+    by_code: np.ndarray = field(default_factory=lambda: np.zeros(0x110000, dtype=np.int32))
+
+    def __post_init__(self) -> None:
+        self.by_code[[ord(c) for c in self.symbols]] = list(self.symbols.values())
+
+    def symbols_of(self, text: str) -> np.ndarray:
+        """Symbol of each code point, 0 for those in no piece."""
+        return self.by_code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
 
     @staticmethod
     def build(pieces: list[str], ids: list[int]) -> DoubleArray:
@@ -107,34 +128,36 @@ class DoubleArray:
                     ends.append(-1)
                 at = nxt
             ends[at] = i
-        room = len(tree) + 2 * len(symbols) + 16
+        room = 2 * len(tree) + 4 * len(symbols) + 16
         base = np.zeros(room, dtype=np.int32)
         check = np.full(room, -1, dtype=np.int32)
         leaf = np.full(room, -1, dtype=np.int32)
-        check[0] = 0
-        used = np.zeros(room, dtype=bool)
-        used[0] = True
-        first, queue = 1, [(0, 0)]
+        free = np.ones(room, dtype=bool)
+        check[0], free[0] = 0, False
+        since = [1] * 64  # by size class of a node: where free room is looked for
+        queue = [(0, 0)]
         for node, slot in queue:
             kids = sorted(tree[node].items())
             if not kids:
                 continue
             keys = np.array([c for c, _ in kids])
-            while first < len(used) and used[first]:
-                first += 1
-            b = max(1, first - int(keys[0]))
+            low, size = since[len(keys).bit_length()], 256
             while True:
-                if b + len(symbols) + 1 >= len(used):
-                    grow = len(used)
-                    base, leaf = (np.concatenate([x, np.full(grow, v, dtype=np.int32)]) for x, v in ((base, 0), (leaf, -1)))
-                    check = np.concatenate([check, np.full(grow, -1, dtype=np.int32)])
-                    used = np.concatenate([used, np.zeros(grow, dtype=bool)])
-                if not used[b + keys].any():
+                if low + size + len(symbols) + 2 >= len(free):
+                    more = len(free)
+                    base, check, leaf = (np.concatenate([x, np.full(more, v, dtype=np.int32)]) for x, v in ((base, 0), (check, -1), (leaf, -1)))
+                    free = np.concatenate([free, np.ones(more, dtype=bool)])
+                places = np.flatnonzero(free[low : low + size]) + low - keys[0]
+                places = places[places > 0]
+                fits = np.flatnonzero(free[places[:, None] + keys].all(axis=1)) if len(places) else places
+                if len(fits):
+                    b = int(places[fits[0]])
                     break
-                b += 1
+                low += size
+            since[len(keys).bit_length()] = low
             base[slot] = b
+            free[b + keys] = False
             for c, kid in kids:
-                used[b + c] = True
                 check[b + c] = slot
                 leaf[b + c] = ends[kid]
                 queue.append((kid, b + c))
@@ -156,13 +179,15 @@ class Unigram:
     byte_ids: np.ndarray  # id of each byte's piece, or of unknown
     unknown: int
     unknown_score: float
-    memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    memo: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
 
     @staticmethod
     def load(data: bytes) -> Unigram:
-        model = read_model(data)
+        model, model_kind = read_model(data)
         normal = [i for i, (p, _, kind) in enumerate(model) if kind in (1, 4) and p]
         scores = np.array([s for _, s, _ in model], dtype=np.float64)
+        scores[normal] = log_scores(scores[normal], model_kind)
         unknown = next((i for i, (_, _, kind) in enumerate(model) if kind == 2), 0)
         byte_ids = np.full(256, unknown, dtype=np.int32)
         for i, (p, _, kind) in enumerate(model):
@@ -173,14 +198,15 @@ class Unigram:
         trie = DoubleArray.build([model[i][0] for i in normal], normal)
         return Unigram([p for p, _, _ in model], scores, trie, byte_ids, unknown, float(scores[normal].min()) - UNKNOWN_PENALTY)
 
-    def viterbi(self, stretches: list[str]) -> list[tuple[int, ...]]:
-        """Best pieces of each stretch, all together. Of equal scores the split whose last piece is longest wins."""
-        n, most = len(stretches), max(map(len, stretches), default=0)
-        get = self.trie.symbols.get
+    def viterbi(self, stretches: list[str]) -> list[bytes]:
+        """Best pieces' ids of each stretch, as unsigned 32-bit little-endian bytes; all stretches together.
+
+        Of equal scores the split found from the earlier start wins, so the last piece is the longest.
+        """
+        n, length = len(stretches), np.array([len(s) for s in stretches])
+        most = int(length.max())
         text = np.zeros((n, most + 1), dtype=np.int32)
-        for i, s in enumerate(stretches):
-            text[i, : len(s)] = [get(c, 0) for c in s]
-        length = np.array([len(s) for s in stretches])
+        text[np.arange(most + 1) < length[:, None]] = self.trie.symbols_of("".join(stretches))
         best = np.full((most + 1, n), -np.inf)
         best[0] = 0
         back = np.zeros((most + 1, n), dtype=np.int32)
@@ -209,49 +235,60 @@ class Unigram:
                 better = value > best[at + k + 1, r]
                 r = r[better]
                 best[at + k + 1, r], back[at + k + 1, r], piece[at + k + 1, r] = value[better], at, p[better]
-        out = []
-        for i, s in enumerate(stretches):
-            at, ids = len(s), []
-            while at:
-                start, p = int(back[at, i]), int(piece[at, i])
+        at, who = length.copy(), np.arange(n)
+        taken = np.full((most, n), -2, dtype=np.int32)
+        starts = np.zeros((most, n), dtype=np.int32)
+        for k in range(most):
+            live = at > 0
+            if not live.any():
+                break
+            taken[k, live], starts[k, live] = piece[at[live], who[live]], back[at[live], who[live]]
+            at = np.where(live, starts[k], 0)
+        odd = (taken == -1).any(axis=0)
+        flat = taken[::-1].T
+        kept = flat >= 0
+        ids = flat[kept].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        out = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        for i in np.flatnonzero(odd):  # byte fallback
+            row: list[int] = []
+            for p, start, end in zip(taken[::-1, i], starts[::-1, i], [*starts[-2::-1, i], length[i]]):
                 if p >= 0:
-                    ids.append(p)
-                else:
-                    ids += [int(self.byte_ids[b]) for b in reversed(s[start:at].encode("utf-8", "surrogatepass"))]
-                at = start
-            out.append(tuple(reversed(ids)))
+                    row.append(p)
+                elif p == -1:
+                    row += [self.byte_ids[b] for b in stretches[i][start:end].encode("utf-8", "surrogatepass")]
+            out[i] = np.array(row, dtype="<u4").tobytes()
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each whole text; none for an empty one."""
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each whole text, unsigned 32-bit; none for an empty one."""
         split = [stretches_of(t) for t in texts]
-        fresh = sorted({s for ws in split for s in ws if s not in self.memo}, key=len)
-        now, at = {}, 0
+        memo, older, now = self.memo, self.older, {}
+        fresh = []
+        for s in {s for ws in split for s in ws}:
+            if s not in memo:
+                if s in older:
+                    memo[s] = older[s]
+                else:
+                    fresh.append(s)
+        fresh.sort(key=len)
+        at = 0
         while at < len(fresh):
             end = at + 1
             while end < len(fresh) and (end - at + 1) * (len(fresh[end]) + 1) <= BATCH_CHARS:
                 end += 1
-            now.update(zip(fresh[at:end], self.viterbi(fresh[at:end])))
+            for s, ids in zip(fresh[at:end], self.viterbi(fresh[at:end])):
+                (memo if len(s) <= MEMO_CHARS else now)[s] = ids
             at = end
-        memo = self.memo
-        out = []
-        for ws in split:
-            ids: list[int] = []
-            for s in ws:
-                ids += memo[s] if s in memo else now[s]
-            out.append(ids)
-        if len(memo) + len(now) > MEMO:
-            memo.clear()
-        memo.update((s, v) for s, v in now.items() if len(s) <= MEMO_CHARS)
+        look = memo.__getitem__ if not now else lambda s: memo[s] if s in memo else now[s]
+        out = [np.frombuffer(b"".join(map(look, ws)), dtype="<u4") for ws in split]
+        if len(memo) > MEMO:  # the last two generations stay
+            self.older, self.memo = memo, {}
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces, with runs of byte pieces as UTF-8, markers as spaces, the first one dropped."""
-        parts: list[bytes] = []
-        lookup = self.as_bytes
-        for i in ids:
-            parts.append(lookup[i])
-        text = b"".join(parts).decode("utf-8", "replace")
+        text = b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
     @property
@@ -280,21 +317,16 @@ RESULT = "n_pieces long, n_bytes long, ids_crc32 long, decoded_crc32 long, round
 
 def digest_texts(model: bytes, texts: list[str | None]) -> pd.DataFrame:
     """RESULT of each text: pieces, how many are bytes, crc32 of the ids (unsigned 32-bit little-endian), of the decoded text."""
-    key = zlib.crc32(model)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Unigram.load(model)
-    unigram = _loaded[key]
+    unigram = loaded(model)
     is_byte = np.zeros(len(unigram.pieces), dtype=bool)
     is_byte[unigram.byte_ids[unigram.byte_ids != unigram.unknown]] = True
     rows = []
     for at in range(0, len(texts), 64):
         part = [t or "" for t in texts[at : at + 64]]
         for text, ids in zip(part, unigram.encode_batch(part)):
-            a = np.array(ids, dtype="<u4")
-            back = unigram.decode(ids)
+            back = unigram.decode(ids.tolist())
             # a marker in the text itself comes back as a space
-            rows.append((len(a), int(is_byte[a].sum()), zlib.crc32(a.tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text.replace(MARK, " ")))
+            rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text.replace(MARK, " ")))
     return pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")])
 
 
@@ -341,11 +373,11 @@ def loaded(model: bytes) -> Unigram:
     return _loaded[key]
 
 
-def encode_texts(model: bytes, texts: list[str | None]) -> list[list[int]]:
+def encode_texts(model: bytes, texts: list[str | None]) -> list[np.ndarray]:
     unigram, out = loaded(model), []
     for at in range(0, len(texts), 64):
         out += unigram.encode_batch([t or "" for t in texts[at : at + 64]])
-    return out
+    return [x.astype(np.int32) for x in out]
 
 
 def sentencepiece_digest(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
