@@ -33,7 +33,7 @@ SHARD_TOKENS = 1 << 20
 #: Bits between two stored counts of ones.
 BLOCK = 512
 #: Parts of texts in each of the two generations that a worker remembers; longer ones than MEMO_CHARS are not kept.
-MEMO, MEMO_CHARS = 300_000, 48
+MEMO, MEMO_CHARS = 700_000, 48
 
 
 def pack_shard(tokens: np.ndarray, doc_ids: list[int | None], doc_tokens: list[int]) -> bytes:
@@ -211,15 +211,14 @@ class Encoder:
         """Ids of a space and each part; parts have no white space at their ends and are not empty."""
         found = {}
         for at in range(0, len(parts), 8192):
-            some = parts[at : at + 8192]
-            runs = [some[i : i + 256] for i in range(0, len(some), 256)]
-            for run, ids in zip(runs, self.plain([" " + " ".join(r) for r in runs])):
-                ends = np.cumsum([len(p.encode("utf-8")) + 1 for p in run])
-                cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
-                raw, a = ids.tobytes(), 0
-                for p, b in zip(run, (cuts * self.kind.itemsize).tolist()):
-                    found[p] = raw[a:b]
-                    a = b
+            runs = [parts[i : i + 256] for i in range(at, min(at + 8192, len(parts)), 256)]
+            joined = [" " + " ".join(r) for r in runs]
+            for run, text, ids in zip(runs, joined, self.plain(joined)):
+                raw = np.frombuffer(text.encode("utf-8") + b" ", dtype=np.uint8)
+                cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.flatnonzero(raw == 32)[1:]) + 1  # a part has no space
+                ends = (cuts * self.kind.itemsize).tolist()
+                data = ids.tobytes()
+                found.update(zip(run, [data[a:b] for a, b in zip([0, *ends], ends)]))
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -246,7 +245,7 @@ class Encoder:
             rows.append(row)
             gaps.append(gap)
         new = self.learn(list(fresh))
-        self.memo.update((p, ids) for p, ids in new.items() if len(p) <= MEMO_CHARS)
+        self.memo.update(new if max(map(len, new), default=0) <= MEMO_CHARS else {p: ids for p, ids in new.items() if len(p) <= MEMO_CHARS})
         whole = iter(self.plain([t if i in slow else split[i][0] for i, t in enumerate(texts)]))
         out = []
         for i, (parts, row, gap) in enumerate(zip(split, rows, gaps)):
