@@ -56,6 +56,12 @@ def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mainregion import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.licences import scan_licences
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_additive_quantisation": op5_additive_quantisation,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_wavelet_shards": op7_wavelet_shards,
+    "op8_main_text": op8_main_text,
     "op9_licence_scan": op9_licence_scan,
     "op10_simhash_groups": op10_simhash_groups,
 }
