@@ -227,6 +227,11 @@ def extract(page: str | None, weights: Weights) -> str:
     """Main text: the region's blocks without boilerplate, joined by blank lines; empty if there is none."""
     blocks = parse(page or "")
     start, end = region(blocks, weights)
+    if start < end:  # short blocks at either end of the element that holds the region belong to it
+        while end < len(blocks) and blocks[end].marked and blocks[end - 1].marked and not ENDS.keys() & {"t:" + t for t in blocks[end].tags}:
+            end += 1
+        while start and blocks[start - 1].marked and blocks[start].marked and not ENDS.keys() & {"t:" + t for t in blocks[start].tags}:
+            start -= 1
     return "\n\n".join(b.text for b in blocks[start:end] if not b.outside)
 
 

@@ -87,7 +87,7 @@ def mix_sources(
     source_col: str = "source",
     text_col: str = "text",
 ) -> DataFrame:
-    """How many words of each row a mix takes: id, size, source_size, target, taken, mix_weight and the source.
+    """How many words of each row a mix takes: id, source, size, source_size, target, mix_weight, taken and copies.
 
     A source's budget is its target rounded to words. Whole epochs of the source come first; the rest is cut in the
     order of the rows' random keys at the exact word, so that one row at most is taken in part.
@@ -141,9 +141,23 @@ def mix_sources(
         "target",
         "mix_weight",
         (F.col("mix_whole") * F.col("size") + F.least(F.greatest(left - F.col("mix_start"), F.lit(0)), F.col("size"))).cast("long").alias("taken"),
+        (F.col("mix_whole") + ((F.col("size") > 0) & (F.col("mix_start") < left)).cast("long")).alias("copies"),
     )
 
 
+def mixed_rows(df: DataFrame, weights: Sequence[float] | Mapping[str | None, float] = (3, 1, 2), share: float = 1.5, most_epochs: float = 2.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: each row of df as often as the mix takes it, with df's columns.
+
+    The row at a source's cut is taken whole, so a source exceeds its budget by less than one row. Rows of one id share
+    the most copies of any of them. Rows without words are kept as often as their source's whole epochs.
+    """
+    plan = mix_sources(df, weights, share, most_epochs, seed, id_col, source_col, text_col)
+    copies = plan.groupBy(F.col(id_col).alias("c_id")).agg(F.max("copies").alias("c_copies")).where("c_copies > 0")
+    rows = df.select(F.col(id_col).alias("m_id"), F.struct(*[F.col(c) for c in df.columns]).alias("m_row"))
+    taken = rows.join(copies, F.col("m_id").eqNullSafe(F.col("c_id")))
+    return taken.select("m_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c_copies"))).alias("m_copy")).select("m_row.*")
+
+
 ORACLE = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,

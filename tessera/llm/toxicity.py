@@ -268,3 +268,9 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model = fit(documents, labels, id_col, text_col, label_col)
     scored = documents.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score_column(spark, model, F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def remove_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """documents without the rows that toxicity() predicts as label 1; all columns stay as they are."""
+    model = fit(documents, labels, id_col, text_col, label_col)
+    return documents.where(score_column(documents.sparkSession, model, F.col(text_col)) < 0.5)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -315,19 +316,22 @@ _loaded: dict[int, Unigram] = {}
 RESULT = "n_pieces long, n_bytes long, ids_crc32 long, decoded_crc32 long, round_trip boolean"
 
 
-def digest_texts(model: bytes, texts: list[str | None]) -> pd.DataFrame:
+def digest_texts(model: bytes, texts: list[str | None], keep_ids: bool = False) -> pd.DataFrame:
     """RESULT of each text: pieces, how many are bytes, crc32 of the ids (unsigned 32-bit little-endian), of the decoded text."""
     unigram = loaded(model)
     is_byte = np.zeros(len(unigram.pieces), dtype=bool)
     is_byte[unigram.byte_ids[unigram.byte_ids != unigram.unknown]] = True
-    rows = []
+    rows, kept = [], []
     for at in range(0, len(texts), 64):
         part = [t or "" for t in texts[at : at + 64]]
         for text, ids in zip(part, unigram.encode_batch(part)):
             back = unigram.decode(ids.tolist())
+            if keep_ids:
+                kept.append(ids.astype(np.int32))
             # a marker in the text itself comes back as a space
             rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text.replace(MARK, " ")))
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")])
+    out = pd.DataFrame(rows, columns=[f.split()[0] for f in RESULT.split(", ")])
+    return out.assign(ids=pd.Series(kept, dtype=object)) if keep_ids else out
 
 
 def model_file(path: str | None) -> bytes:
@@ -380,8 +384,8 @@ def encode_texts(model: bytes, texts: list[str | None]) -> list[np.ndarray]:
     return [x.astype(np.int32) for x in out]
 
 
-def sentencepiece_digest(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and RESULT of every row's whole text, encoded and decoded again.
+def sentencepiece_digest(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, also: Sequence[str] = ()) -> DataFrame:
+    """id, the columns named in also, RESULT of every row's whole text, encoded and decoded again, and with keep_ids ids.
 
     Null and empty texts have no pieces and decode to the empty text. A literal U+2581 counts as a space. Repeated rows
     stay rows; an empty table gives an empty result; other columns do not matter.
@@ -390,8 +394,8 @@ def sentencepiece_digest(df: DataFrame, path: str | None = None, id_col: str = "
     ship(spark)
     shared = spark.sparkContext.broadcast(model_file(path))  # the file's size: half a megabyte
 
-    @pandas_udf(RESULT)
+    @pandas_udf(RESULT + ", ids array<int>" * keep_ids)
     def kernel(texts: pd.Series) -> pd.DataFrame:
-        return digest_texts(shared.value, [t if isinstance(t, str) else None for t in texts])
+        return digest_texts(shared.value, [t if isinstance(t, str) else None for t in texts], keep_ids)
 
-    return df.select(F.col(id_col), kernel(F.col(text_col)).alias("r")).select(F.col(id_col), "r.*")
+    return df.select(F.col(id_col), *also, kernel(F.col(text_col)).alias("r")).select(F.col(id_col), *also, "r.*")
