@@ -48,9 +48,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that Spark hands to Python at once where the session leaves that at Spark's default: texts can be long.
+ARROW_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once per application, so that they need no installation."""
+    """Send this package to the executors' Python once per application, so that they need no installation.
+
+    Also bounds the rows of an Arrow batch, unless the session sets a bound of its own.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
