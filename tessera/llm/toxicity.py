@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tessera.llm.memo import claim
 from tessera.session import ship
 
 #: Rows of each class that training uses at most, taken by hash of the id: the documented bound of the sample.
@@ -26,7 +27,7 @@ SAMPLE_ROWS = 3000
 SAMPLE_CHARS = 16_000_000
 BUCKETS, DIM, NGRAMS, WINDOW, FIRST_WINDOW = 1 << 16, 8, (3, 4, 5), 24, 960
 #: Distinct words whose scores a worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -228,6 +229,7 @@ _memo: dict[str, dict[str, float]] = {}
 
 def score_texts(model: Model, token: str, texts: list[str | None]) -> np.ndarray:
     """Scores of whole texts. Words' logits are remembered in the worker, MEMO_WORDS of them at most, under token."""
+    claim("toxicity", _memo.clear)
     if token not in _memo:
         _memo.clear()
         _memo[token] = {}

@@ -22,11 +22,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tessera.llm.memo import claim
 from tessera.session import ship
 
 MARK = "▁"
 #: Stretches in each of the two generations that a worker remembers; longer stretches than MEMO_CHARS are not kept.
-MEMO, MEMO_CHARS = 250_000, 64
+MEMO, MEMO_CHARS = 200_000, 64
 #: Characters that one batch of Viterbi holds in its tables at most (padding included).
 BATCH_CHARS = 1 << 16
 #: How far below the lowest score of any piece an unknown character scores (fixed value of the format).
@@ -370,6 +371,7 @@ def decode_column(spark: SparkSession, ids: Column, model: bytes) -> Column:
 
 
 def loaded(model: bytes) -> Unigram:
+    claim("unigram", _loaded.clear)
     key = zlib.crc32(model)
     if key not in _loaded:
         _loaded.clear()

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.memo import claim
 from tessera.session import checkpoint_dir, ship
 
 MAGIC, END_ID = b"WMSHARD1", 2
@@ -278,6 +279,7 @@ _encoders: dict[int, Encoder] = {}
 
 
 def encoder(file: str) -> Encoder:
+    claim("wavelet", _encoders.clear)
     key = zlib.crc32(file.encode())
     if key not in _encoders:
         _encoders.clear()
