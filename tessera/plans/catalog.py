@@ -5,7 +5,270 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.text import LEGAL_FORMS
+from tessera.operators import blocking as B
+from tessera.operators import decide as D
+from tessera.operators import features as X
+from tessera.operators import records as R
 
 FLAGSHIP = "link_records"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a query over the record view under its function's name, with its SQL."""
+
+    def register(build: Callable[[DataFrame], DataFrame]) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(R.records_of_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+        QUERIES[build.__name__] = run
+        if sql:
+            ORACLES[build.__name__] = sql
+        return build
+
+    return register
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n"
+
+
+FORWARD = (R.RECS, B.BAG, B.IDF, B.PAIRS, B.TOPK)
+TRUTH = """truth AS (
+  SELECT DISTINCT a.entity_id AS s1, b.entity_id AS cand FROM recs a JOIN recs b ON a.source = 'S1' AND b.source <> 'S1'
+     AND a.country = b.country AND a.name_key = b.name_key WHERE a.name_key <> ''),
+owned AS (SELECT min_by(s1, length(s1) || s1) AS s1, cand FROM truth GROUP BY cand)"""
+SCORED = "scored AS (SELECT s1, cand, block_score AS p FROM topk)"
+RULED = """ruled AS (
+  SELECT s1, cand, p FROM (SELECT *, max(p) OVER (PARTITION BY s1) AS best, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, cand) AS rn FROM scored)
+  WHERE best >= 0.1::DOUBLE AND (p >= 0.8::DOUBLE OR (best < 0.8::DOUBLE AND rn = 1 AND best >= 0.4::DOUBLE)))"""
+SINGLE = """single AS (SELECT s1, cand, p FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY p DESC, s1) AS rn FROM ruled) WHERE rn = 1)"""
+ENTITY = """entity AS (
+  SELECT s1, n_true, n_pred, tp, round(CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0::DOUBLE WHEN tp = 0 THEN 0.0::DOUBLE
+         ELSE 1.25::DOUBLE * tp / (0.25::DOUBLE * n_true + n_pred) END, 6) AS f
+  FROM (SELECT e.entity_id AS s1, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp
+        FROM (SELECT entity_id FROM recs WHERE source = 'S1') e LEFT JOIN (
+          SELECT s1, count(t) AS n_true, count(p) AS n_pred, count(CASE WHEN t = 1 AND p = 1 THEN 1 END) AS tp
+          FROM (SELECT s1, cand, 1 AS t FROM owned) FULL JOIN (SELECT s1, cand, 1 AS p FROM single) USING (s1, cand) GROUP BY s1) c ON c.s1 = e.entity_id))"""
+DECIDED = (*FORWARD, SCORED, RULED, SINGLE)
+JUDGED = (*DECIDED, TRUTH, ENTITY)
+
+
+def forward(recs: DataFrame) -> DataFrame:
+    return B.top_k(B.scored_pairs(recs))
+
+
+def scored(recs: DataFrame) -> DataFrame:
+    return forward(recs).select("s1", "cand", F.col("block_score").alias("p"))
+
+
+def ruled(recs: DataFrame) -> DataFrame:
+    return D.threshold_rule(scored(recs), 0.1, 0.8, 0.4).select("s1", "cand", "p")
+
+
+def single(recs: DataFrame) -> DataFrame:
+    return D.one_to_one(ruled(recs))
+
+
+def s1_of(recs: DataFrame) -> DataFrame:
+    return recs.where("source = 'S1'").select(F.col("entity_id").alias("s1"), "country")
+
+
+def owned_truth(recs: DataFrame) -> DataFrame:
+    """Records of equal country and name; each candidate belongs to its first S1 record."""
+    named = recs.where("name_key <> ''")
+    firsts = named.where("source = 'S1'").groupBy("country", "name_key").agg(F.min_by("entity_id", F.struct(F.length("entity_id"), "entity_id")).alias("s1"))
+    return named.where("source <> 'S1'").select(F.col("entity_id").alias("cand"), "country", "name_key").join(firsts, ["country", "name_key"]).select("s1", "cand")
+
+
+def judged(recs: DataFrame) -> DataFrame:
+    return D.entity_scores(s1_of(recs), owned_truth(recs), single(recs))
+
+
+@query(with_(R.RECS, B.BAG, B.IDF) + "SELECT country, source, token, df FROM idf")
+def token_df(recs):
+    return B.token_idf(recs).select("country", "source", "token", "df")
+
+
+@query(with_(R.RECS, B.BAG, B.IDF) + "SELECT country, source, token, round(idf, 6) AS idf FROM idf")
+def token_idf(recs):
+    return B.token_idf(recs).select("country", "source", "token", F.round("idf", 6).alias("idf"))
+
+
+@query(with_(R.RECS, B.BAG, B.IDF) + "SELECT entity_id, round(sqrt(sum(idf * idf)), 6) AS norm FROM bag JOIN idf USING (country, source, token) GROUP BY entity_id")
+def doc_norms(recs):
+    posted = B.postings(recs.where("source <> 'S1'")).join(B.token_idf(recs), ["country", "source", "token"])
+    return posted.groupBy("entity_id").agg(F.round(F.sqrt(F.sum(F.col("idf") * F.col("idf"))), 6).alias("norm"))
+
+
+@query(with_(*FORWARD) + "SELECT * FROM topk")
+def idf_topk(recs):
+    return forward(recs)
+
+
+@query(with_(R.RECS, B.BAG, B.IDF, B.FIELD_PAIRS, B.TOPK) + "SELECT * FROM topk")
+def idf_topk_field_weighted(recs):
+    return B.top_k(B.scored_pairs(recs, field_weights=(0.7, 1.0)))
+
+
+@query(with_(R.RECS, B.BAG, B.IDF, B.PAIRS, B.REVERSE) + "SELECT * FROM rev")
+def reverse_top1(recs):
+    return B.reverse_top(B.scored_pairs(recs))
+
+
+@query(with_(R.RECS, B.KEYS) + "SELECT * FROM keypairs")
+def exact_key_pairs(recs):
+    return B.exact_key_pairs(recs)
+
+
+@query(
+    with_(*FORWARD)
+    + """SELECT s1, cand, source, score AS block_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY s1, source ORDER BY score DESC, cand) AS rn
+  FROM pairs JOIN (SELECT entity_id AS cand FROM recs WHERE len(addr_tokens) = 0 AND source <> 'S1') USING (cand) WHERE score > 0)
+WHERE rn <= 2 AND (s1, cand) NOT IN (SELECT (s1, cand) FROM topk)"""
+)
+def empty_addr_topk(recs):
+    pairs = B.scored_pairs(recs)
+    return B.empty_address_top(recs, pairs, B.top_k(pairs))
+
+
+@query("WITH " + B.ALL_SQL + "\nSELECT * FROM cands")
+def candidate_union(recs):
+    return B.candidates(recs, B.scored_pairs(recs))
+
+
+@query("WITH " + B.ALL_SQL + "\nSELECT * FROM pruned")
+def prune_relative_floor(recs):
+    return B.prune(B.candidates(recs, B.scored_pairs(recs)), s1_of(recs), {"fr": 0.55})
+
+
+@query(with_(R.RECS) + "SELECT country, name_key, count(*) AS freq, round(ln(1 + least(count(*), 8)::DOUBLE), 6) AS log_freq FROM recs WHERE source <> 'S1' AND name_key <> '' GROUP BY ALL")
+def key_freqs(recs):
+    n = F.count(F.lit(1))
+    return recs.where("source <> 'S1' and name_key <> ''").groupBy("country", "name_key").agg(n.alias("freq"), F.round(F.log1p(F.least(n, F.lit(8)).cast("double")), 6).alias("log_freq"))
+
+
+@query(with_(R.RECS) + X.POPULATION_SQL)
+def population_counts(recs):
+    return X.population_counts(recs)
+
+
+@query(with_(*FORWARD) + X.LIST_SQL)
+def list_features(recs):
+    return X.list_features(forward(recs))
+
+
+@query("WITH " + ",\n".join(FORWARD) + ",\n" + X.TOKEN_FEATURES_SQL)
+def token_features(recs):
+    return X.token_features(X.with_records(forward(recs), recs))
+
+
+@query(with_(*FORWARD) + X.NGRAM_SQL)
+def char_ngram_jaccard(recs):
+    return X.ngram_jaccard(X.with_records(forward(recs), recs))
+
+
+@query(with_(*DECIDED) + "SELECT * FROM ruled")
+def threshold_rule(recs):
+    return ruled(recs)
+
+
+@query(with_(*DECIDED) + "SELECT * FROM single")
+def one_to_one(recs):
+    return single(recs)
+
+
+BLENDED = """c AS (
+  SELECT s1, cand, least(greatest(block_score, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS a,
+         least(greatest(block_score / (1.0::DOUBLE + block_rank), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS b FROM topk)"""
+
+
+@query(with_(*FORWARD, BLENDED) + "SELECT s1, cand, round(1 / (1 + exp(-(0.8::DOUBLE * ln(a / (1 - a)) + 0.2::DOUBLE * ln(b / (1 - b))))), 6) AS blended FROM c")
+def logit_blend(recs):
+    other = F.col("block_score") / (F.lit(1.0) + F.col("block_rank"))
+    return forward(recs).select("s1", "cand", F.round(D.logit_blend(F.col("block_score"), other, 0.8), 6).alias("blended"))
+
+
+@query(with_(*JUDGED) + "SELECT * FROM entity")
+def fbeta_per_entity(recs):
+    return judged(recs)
+
+
+@query(
+    with_(*JUDGED)
+    + """SELECT count(*) AS n_entities, round(avg(f), 6) AS macro_f, round(avg(CASE WHEN n_true = 0 THEN f END), 6) AS singleton_f,
+  round(avg(CASE WHEN n_true > 0 THEN f END), 6) AS matched_f, sum(n_pred)::BIGINT AS n_predicted, sum(n_true)::BIGINT AS n_truth FROM entity"""
+)
+def score_report(recs):
+    return judged(recs).agg(
+        F.count(F.lit(1)).alias("n_entities"), F.round(F.avg("f"), 6).alias("macro_f"), F.round(F.avg(F.when(F.col("n_true") == 0, F.col("f"))), 6).alias("singleton_f"),
+        F.round(F.avg(F.when(F.col("n_true") > 0, F.col("f"))), 6).alias("matched_f"), F.sum("n_pred").alias("n_predicted"), F.sum("n_true").alias("n_truth"),
+    )
+
+
+@query(with_(*FORWARD, TRUTH) + "SELECT count(*) AS n_truth, count(k.s1) AS n_found, round(count(k.s1)::DOUBLE / count(*), 6) AS recall FROM owned o LEFT JOIN topk k ON k.s1 = o.s1 AND k.cand = o.cand")
+def recall_ceiling(recs):
+    found = owned_truth(recs).join(forward(recs).select("s1", "cand", F.lit(1).alias("hit")), ["s1", "cand"], "left")
+    return found.agg(F.count(F.lit(1)).alias("n_truth"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
+
+
+@query(
+    with_(*DECIDED)
+    + """SELECT country, count(*) AS n_s1, round(avg(coalesce(nc, 0)), 6) AS mean_cands, round(avg(coalesce(np, 0)), 6) AS mean_preds,
+  round(avg((np IS NULL)::INTEGER), 6) AS empty_rate, round(avg(coalesce(best, 0)), 6) AS mean_top1
+FROM (SELECT entity_id AS s1, country FROM recs WHERE source = 'S1')
+LEFT JOIN (SELECT s1, count(*) AS nc, max(p) AS best FROM scored GROUP BY s1) USING (s1) LEFT JOIN (SELECT s1, count(*) AS np FROM single GROUP BY s1) USING (s1) GROUP BY country"""
+)
+def country_report(recs):
+    cands = scored(recs).groupBy("s1").agg(F.count(F.lit(1)).alias("nc"), F.max("p").alias("best"))
+    preds = single(recs).groupBy("s1").agg(F.count(F.lit(1)).alias("np"))
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0)).cast("double")), 6)
+    return s1_of(recs).join(cands, "s1", "left").join(preds, "s1", "left").groupBy("country").agg(
+        F.count(F.lit(1)).alias("n_s1"), mean(F.col("nc")).alias("mean_cands"), mean(F.col("np")).alias("mean_preds"),
+        F.round(F.avg(F.col("np").isNull().cast("int")), 6).alias("empty_rate"), mean(F.col("best")).alias("mean_top1"),
+    )
+
+
+@query(with_(*DECIDED) + "SELECT e.entity_id AS s1, coalesce(ids, '') AS ids FROM (SELECT entity_id FROM recs WHERE source = 'S1') e LEFT JOIN (SELECT s1, string_agg(cand, ',' ORDER BY cand) AS ids FROM single GROUP BY s1) m ON m.s1 = e.entity_id")
+def link_records(recs):
+    """End to end: postings, IDF, top-K join, threshold rule, one-to-one, sorted id lists."""
+    return D.id_lists(s1_of(recs), single(recs))
+
+
+@query(with_(*FORWARD, "taus AS (SELECT (50 + unnest(range(0, 46))) / 100.0::DOUBLE AS tau)", TRUTH) + """SELECT tau, count(*) AS n_pred, count(o.s1) AS n_hit FROM taus
+  JOIN (SELECT s1, cand, block_score AS p FROM topk) k ON k.p >= tau LEFT JOIN owned o ON o.s1 = k.s1 AND o.cand = k.cand GROUP BY tau""")
+def threshold_sweep(recs):
+    hits = scored(recs).join(owned_truth(recs).withColumn("hit", F.lit(1)), ["s1", "cand"], "left")
+    taus = F.filter(F.array(*[F.lit((50 + i) / 100) for i in range(46)]), lambda t: F.col("p") >= t)
+    return hits.select(F.explode(taus).alias("tau"), "hit").groupBy("tau").agg(F.count(F.lit(1)).alias("n_pred"), F.count("hit").alias("n_hit"))
+
+
+@query(with_(*FORWARD, SCORED) + """, r AS (SELECT count(*) FILTER (p >= 0.6::DOUBLE) AS o, count(*) FILTER (p >= 0.4::DOUBLE) AS t FROM scored WHERE cand LIKE 'S2%'),
+n AS (SELECT count(*) AS n FROM scored WHERE cand LIKE 'S3%' AND p >= 0.4::DOUBLE)
+SELECT max(p) AS tau FROM (SELECT p, sum(count(*)) OVER (ORDER BY p DESC) AS seen FROM scored WHERE cand LIKE 'S3%' AND p >= 0.4::DOUBLE GROUP BY p), r, n
+WHERE seen >= greatest(1, floor(n::DOUBLE * o / greatest(1, t) + 0.5::DOUBLE))""")
+def drop_matched_tau(recs):
+    s = scored(recs)
+    return D.drop_matched_tau(s.where("cand like 'S3%'"), s.where("cand like 'S2%'"), 0.4, 0.6)
+
+
+FORMS = str(list(LEGAL_FORMS))
+
+
+@query(
+    with_(R.RECS)
+    + f"""SELECT entity_id, array_to_string(list_filter(name_tokens, lambda x: NOT list_contains({FORMS}, x)), ' ') AS core_name,
+  array_to_string(list_filter(name_tokens, lambda x: list_contains({FORMS}, x)), ' ') AS forms FROM recs"""
+)
+def legal_suffix_split(recs):
+    return X.legal_forms(recs)
+
+
+@query()
+def string_sims(recs):
+    return X.string_similarities(X.with_records(forward(recs), recs))
