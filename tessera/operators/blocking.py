@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.records import RECS
+from tessera.session import durable
 
 
 def postings(recs: DataFrame) -> DataFrame:
@@ -126,8 +127,12 @@ def empty_address_top(recs: DataFrame, pairs: DataFrame, known: DataFrame, k: in
 
 
 def candidates(recs: DataFrame, pairs: DataFrame, k: int = 10, reverse_k: int = 1, key_cap: int = 5) -> DataFrame:
-    """Union of the channels with flags: forward top-k, exact keys (score 0), reverse winners (reverse score)."""
-    forward = top_k(pairs, k)
+    """Union of the channels with flags: forward top-k, exact keys (score 0), reverse winners (reverse score).
+
+    The scored pairs feed two channels and their lists more, so they are materialised once.
+    """
+    pairs = durable(pairs)
+    forward = durable(top_k(pairs, k))
     tops = forward.groupBy("s1", "source").agg(F.max("block_top_score").alias("block_top_score"))
     late = exact_key_pairs(recs, key_cap).withColumn("key_channel", F.lit(1)).join(forward, ["s1", "cand"], "left_anti").withColumn("block_score", F.lit(0.0))
     back = reverse_top(pairs, reverse_k).select("s1", "cand", "source", F.lit(1).alias("rev_top1"), F.col("rev_score").alias("block_score"))
