@@ -108,11 +108,11 @@ def _share(t: Template, weight: dict[str, float]) -> Callable[[Column], Column]:
 
 
 def rarity(df: DataFrame, vocabulary: Sequence[str], text_col: str) -> dict[str, float]:
-    """ln(1 + N / (1 + df)) of each word of the vocabulary over all rows; the result has one number a word."""
+    """ln(1 + (1 + N) / (1 + df)) of each word of the vocabulary over all rows; the result has one number a word."""
     present = df.select(F.array_intersect(words_of(F.col(text_col)), _literal(vocabulary)).alias("w"))
     n = F.count(F.lit(1))
     row = present.agg(n.alias("n"), *[F.count_if(F.array_contains("w", v)).alias(f"c{i}") for i, v in enumerate(vocabulary)]).first()
-    return {v: math.log(1 + row["n"] / (1 + row[f"c{i}"])) for i, v in enumerate(vocabulary)}
+    return {v: math.log(1 + (1 + row["n"]) / (1 + row[f"c{i}"])) for i, v in enumerate(vocabulary)}
 
 
 def scan_licences(

@@ -104,10 +104,10 @@ def worst_window(logits: np.ndarray, window: int) -> tuple[float, int, int]:
     return float(sums[at]) / window, at, at + window
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 10, steps: int = 500, rate: float = 0.3, seed: int = 0, batch: int = 64) -> Model:
+def train(texts: list[str], labels: np.ndarray, epochs: int = 6, steps: int = 1000, first: float = 0.4, rate: float = 1.0, seed: int = 0, batch: int = 48) -> Model:
     """Fit embeddings and softmax jointly by Adagrad on the log loss of each text's worst window.
 
-    The first epoch takes one random window of each text, as no word has a meaning yet; from then on each text counts
+    The first epochs take a long random window of each text, as no word has a meaning yet; from then on each text counts
     by its currently worst window, and clean texts by another random one too. There are epochs passes at least, and
     steps batches at least.
     """
@@ -162,7 +162,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 10, steps: int = 5
     epochs = max(epochs, -(-steps * batch // max(1, len(filled))))
     for epoch in range(epochs):
         per_word = None
-        if epoch:
+        if epoch >= first * epochs:
             per_bucket = emb @ (out[:, 1] - out[:, 0])
             per_word = np.concatenate([np.add.reduceat(per_bucket[ids[start[i] : (start[i + 5000] if i + 5000 < len(start) else len(ids))]], start[i : i + 5000] - start[i]) for i in range(0, len(start), 5000)]) / size if len(start) else np.zeros(0)
         order = rng.permutation(filled)
