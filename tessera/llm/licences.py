@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD, BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a notice that it is indexed under; share of its weight that must stand at its places.
 ANCHORS, COVERAGE = 4, 0.8
@@ -60,8 +60,8 @@ NOTICES = (
 
 
 def words_of(text: Column) -> Column:
-    """Words of the whole text with A-Z lowered; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Runs of WORD in the whole text with A-Z lowered; none for null. Splitting is far cheaper than extracting them."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
 def _literal(values: Sequence) -> Column:
