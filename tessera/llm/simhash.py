@@ -212,6 +212,7 @@ def simhash_groups(df: DataFrame, budget: int = 2, width: int = 3, seed: int = S
     least = linked.groupBy(F.col("root").alias("r")).agg(F.min("sh_min").alias("sh_least"))
     named = linked.join(least, F.col("root") == F.col("r")).select("node", "sh_least")
     ids = nodes.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("n_fp"), F.coalesce("sh_least", "sh_min").alias("component_id"))
+    ids = durable(ids)  # both sides of the join are then plain exchanges, so that Spark can split a fingerprint of many copies
     return prints.join(ids, F.col("fp") == F.col("n_fp")).select(F.col("sh_id").alias(id_col), "fp", "component_id")
 
 
