@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.normalize import normalize_column
 from tessera.functions.text import LEGAL_FORMS
 from tessera.operators import blocking as B
 from tessera.operators import decide as D
 from tessera.operators import features as X
 from tessera.operators import records as R
+from tessera.sources.tabular import findings
 
 FLAGSHIP = "link_records"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,3 +274,29 @@ def legal_suffix_split(recs):
 @query()
 def string_sims(recs):
     return X.string_similarities(X.with_records(forward(recs), recs))
+
+
+@query(
+    with_(*DECIDED)
+    + """, lists AS (SELECT s1, ids FROM (
+    SELECT e.entity_id AS s1, coalesce((SELECT string_agg(cand, ',' ORDER BY cand) FROM ruled r WHERE r.s1 = e.entity_id), '') AS ids FROM recs e WHERE source = 'S1' AND doc_id % 7 <> 0)
+  UNION ALL SELECT 'S1-0', 'S2-1,S2-1,S1-3,X-9' UNION ALL SELECT 'S1-x', ''),
+each AS (SELECT s1, unnest(list_filter(string_split(ids, ','), lambda x: x <> '')) AS cand FROM lists)
+SELECT 'duplicate_row' AS rule, coalesce(sum(c - 1), 0)::BIGINT AS n FROM (SELECT count(*) AS c FROM lists GROUP BY s1)
+UNION ALL SELECT 'missing_row', count(*) FROM recs WHERE source = 'S1' AND entity_id NOT IN (SELECT s1 FROM lists)
+UNION ALL SELECT 'extra_row', count(DISTINCT s1) FROM lists WHERE s1 NOT IN (SELECT entity_id FROM recs WHERE source = 'S1')
+UNION ALL SELECT 'duplicate_id', (SELECT coalesce(sum(c - 1), 0)::BIGINT FROM (SELECT count(*) AS c FROM each GROUP BY s1, cand))
+UNION ALL SELECT 'self_match', count(*) FROM each WHERE cand LIKE 'S1-%'
+UNION ALL SELECT 'wrong_prefix', count(*) FROM each WHERE NOT regexp_matches(cand, '^S[123]-')
+UNION ALL SELECT 'outside_candidates', count(*) FROM each WHERE (s1, cand) NOT IN (SELECT (s1, cand) FROM topk)"""
+)
+def validator_findings(recs):
+    """What the validator says of lists with planted faults: rows left out, a repeated row, bad ids."""
+    planted = recs.sparkSession.createDataFrame([("S1-0", "S2-1,S2-1,S1-3,X-9"), ("S1-x", "")], "s1 string, ids string")
+    lists = D.id_lists(s1_of(recs.where("doc_id % 7 <> 0")), ruled(recs)).unionByName(planted)
+    return findings(lists, s1_of(recs), forward(recs))
+
+
+@query()
+def normalize_text(recs):
+    return recs.select("entity_id", normalize_column(recs.sparkSession, F.col("name_key")).alias("name_norm"))
