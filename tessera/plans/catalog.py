@@ -203,13 +203,13 @@ def fbeta_per_entity(recs):
 
 @query(
     with_(*JUDGED)
-    + """SELECT count(*) AS n_entities, round(avg(f), 6) AS macro_f, round(avg(CASE WHEN n_true = 0 THEN f END), 6) AS singleton_f,
-  round(avg(CASE WHEN n_true > 0 THEN f END), 6) AS matched_f, sum(n_pred)::BIGINT AS n_predicted, sum(n_true)::BIGINT AS n_truth FROM entity"""
+    + """SELECT count(*) AS n_entities, round(avg(f), 9) AS macro_f, round(avg(CASE WHEN n_true = 0 THEN f END), 9) AS singleton_f,
+  round(avg(CASE WHEN n_true > 0 THEN f END), 9) AS matched_f, sum(n_pred)::BIGINT AS n_predicted, sum(n_true)::BIGINT AS n_truth FROM entity"""
 )
 def score_report(recs):
     return judged(recs).agg(
-        F.count(F.lit(1)).alias("n_entities"), F.round(F.avg("f"), 6).alias("macro_f"), F.round(F.avg(F.when(F.col("n_true") == 0, F.col("f"))), 6).alias("singleton_f"),
-        F.round(F.avg(F.when(F.col("n_true") > 0, F.col("f"))), 6).alias("matched_f"), F.sum("n_pred").alias("n_predicted"), F.sum("n_true").alias("n_truth"),
+        F.count(F.lit(1)).alias("n_entities"), F.round(F.avg("f"), 9).alias("macro_f"), F.round(F.avg(F.when(F.col("n_true") == 0, F.col("f"))), 9).alias("singleton_f"),
+        F.round(F.avg(F.when(F.col("n_true") > 0, F.col("f"))), 9).alias("matched_f"), F.sum("n_pred").alias("n_predicted"), F.sum("n_true").alias("n_truth"),
     )
 
 
@@ -221,18 +221,18 @@ def recall_ceiling(recs):
 
 @query(
     with_(*DECIDED)
-    + """SELECT country, count(*) AS n_s1, round(avg(coalesce(nc, 0)), 6) AS mean_cands, round(avg(coalesce(np, 0)), 6) AS mean_preds,
-  round(avg((np IS NULL)::INTEGER), 6) AS empty_rate, round(avg(coalesce(best, 0)), 6) AS mean_top1
+    + """SELECT country, count(*) AS n_s1, round(avg(coalesce(nc, 0)), 9) AS mean_cands, round(avg(coalesce(np, 0)), 9) AS mean_preds,
+  round(avg((np IS NULL)::INTEGER), 9) AS empty_rate, round(avg(coalesce(best, 0)), 9) AS mean_top1
 FROM (SELECT entity_id AS s1, country FROM recs WHERE source = 'S1')
 LEFT JOIN (SELECT s1, count(*) AS nc, max(p) AS best FROM scored GROUP BY s1) USING (s1) LEFT JOIN (SELECT s1, count(*) AS np FROM single GROUP BY s1) USING (s1) GROUP BY country"""
 )
 def country_report(recs):
     cands = scored(recs).groupBy("s1").agg(F.count(F.lit(1)).alias("nc"), F.max("p").alias("best"))
     preds = single(recs).groupBy("s1").agg(F.count(F.lit(1)).alias("np"))
-    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0)).cast("double")), 6)
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0)).cast("double")), 9)
     return s1_of(recs).join(cands, "s1", "left").join(preds, "s1", "left").groupBy("country").agg(
         F.count(F.lit(1)).alias("n_s1"), mean(F.col("nc")).alias("mean_cands"), mean(F.col("np")).alias("mean_preds"),
-        F.round(F.avg(F.col("np").isNull().cast("int")), 6).alias("empty_rate"), mean(F.col("best")).alias("mean_top1"),
+        F.round(F.avg(F.col("np").isNull().cast("int")), 9).alias("empty_rate"), mean(F.col("best")).alias("mean_top1"),
     )
 
 
