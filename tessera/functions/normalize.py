@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import pandas_udf
 
 from tessera.session import ship
@@ -42,30 +40,18 @@ def normalize_column(spark: SparkSession, text: Column) -> Column:
 
 
 def segment(word: str, costs: Mapping[str, float]) -> list[str]:
-    """The cheapest split of a glued word into 2 to MOST_PARTS vocabulary words, one lone letter at most; else [word]."""
+    """The cheapest split of a glued word into vocabulary words and lone letters; [word] if the word is short, known or not
+    of ASCII letters, or if that split has fewer than 2 or over MOST_PARTS parts or over one lone letter."""
     if len(word) < 7 or word in costs or not (word.isascii() and word.isalpha()):
         return [word]
-    best: dict[tuple[int, int, int], tuple[float, tuple[str, ...]]] = {(0, 0, 0): (0.0, ())}
-    for at in range(len(word)):
-        for (end, parts, lone), (cost, path) in list(best.items()):
-            if end != at or parts == MOST_PARTS:
-                continue
-            for stop in range(at + 1, min(len(word), at + LONGEST_WORD) + 1):
-                piece = word[at:stop]
-                single = len(piece) == 1
-                price = SINGLE_LETTER_COST if single else costs.get(piece)
-                if price is None or lone + single > 1:
-                    continue
-                key, value = (stop, parts + 1, lone + single), cost + price
-                if key not in best or value < best[key][0]:
-                    best[key] = (value, (*path, piece))
-    found = [v for (end, parts, _), v in best.items() if end == len(word) and parts >= 2]
-    return list(min(found)[1]) if found else [word]
-
-
-def segmentation_costs(recs: DataFrame, country: str) -> dict[str, float]:
-    """-ln of the relative frequency of the S1 name words of a country (two ASCII letters and more)."""
-    words = recs.where((F.col("source") == "S1") & (F.col("country") == country)).select(F.explode("name_tokens").alias("w")).where(F.col("w").rlike("^[a-z]{2,}$"))
-    rows = words.groupBy("w").count().collect()  # a vocabulary of names, no documents
-    total = sum(r["count"] for r in rows)
-    return {r["w"]: math.log(total / r["count"]) for r in rows}
+    best: list[tuple[float, int]] = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        ways = [(best[end - 1][0] + costs.get(word[end - 1], SINGLE_LETTER_COST), end - 1)]
+        ways += [(best[at][0] + costs[word[at:end]], at) for at in range(max(0, end - LONGEST_WORD), end - 1) if word[at:end] in costs]
+        best.append(min(ways))
+    parts, end = [], len(word)
+    while end:
+        parts.insert(0, word[best[end][1] : end])
+        end = best[end][1]
+    fits = 2 <= len(parts) <= MOST_PARTS and sum(len(p) == 1 for p in parts) <= 1
+    return parts if fits else [word]

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 NON_WORD = r"[^\p{L}\p{N}]+"
 # Legal-form words and the family of each.
 LEGAL_FORMS = {
-    "inc": "inc", "incorporated": "inc", "corp": "corp", "corporation": "corp", "co": "co", "company": "co", "llc": "llc", "ltd": "ltd", "limited": "ltd",
-    "pvt": "private", "private": "private", "llp": "llp", "lp": "lp", "plc": "plc", "sa": "sa", "sas": "sas", "sarl": "sarl", "gmbh": "gmbh", "ag": "ag", "eurl": "eurl",
+    "inc": "inc", "incorporated": "inc", "corp": "corp", "corporation": "corp", "co": "co", "company": "co", "llc": "llc", "llp": "llp",
+    "pllc": "pllc", "ltd": "ltd", "limited": "ltd", "pvt": "pvt", "private": "pvt",
+    "sarl": "sarl", "sas": "sas", "sasu": "sasu", "sa": "sa", "eurl": "eurl", "sci": "sci",
 }
 #: Consonant classes of the phonetic code; vowels, h and y are dropped.
 PHONETIC_FROM, PHONETIC_TO = "bfpvwcgjkqsxzdtlmnraeiouyh", "1111122222222334556"

@@ -30,11 +30,14 @@ BAG = """bag AS (
   FROM recs)"""
 
 
-def token_idf(recs: DataFrame, max_df: int = 50_000) -> DataFrame:
-    """(country, source, token, df, idf) of pool tokens: ln((1 + N) / (1 + df)) + 1, N and df in one country's pool."""
+def token_idf(recs: DataFrame, max_df: int = 50_000, posted: DataFrame | None = None) -> DataFrame:
+    """(country, source, token, df, idf) of pool tokens: ln((1 + N) / (1 + df)) + 1, N and df in one country's pool.
+
+    posted: the postings where they are not those of postings().
+    """
     pool = recs.where("source <> 'S1'")
     size = pool.groupBy("country", "source").agg(F.count(F.lit(1)).alias("n"))
-    df = postings(pool).groupBy("country", "source", "token").agg(F.count(F.lit(1)).alias("df"))
+    df = (postings(pool) if posted is None else posted.where("source <> 'S1'")).groupBy("country", "source", "token").agg(F.count(F.lit(1)).alias("df"))
     return df.where(F.col("df") <= max_df).join(size, ["country", "source"]).select("country", "source", "token", "df", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
 
@@ -51,17 +54,27 @@ def _normed(posted: DataFrame, keys: list[str], scale: Column | None = None) ->
     return posted.withColumn("w", weight * scale if scale is not None else weight)
 
 
-def scored_pairs(recs: DataFrame, max_df: int = 50_000, field_weights: tuple[float, float] | None = None) -> DataFrame:
+def scored_pairs(recs: DataFrame, max_df: int = 50_000, field_weights: tuple[float, ...] | None = None, posted: DataFrame | None = None) -> DataFrame:
     """(s1, cand, source, score) of all pairs that share a token of their country: cosine, or the weighted sum of the
-    cosines of name and address blocks. Query tokens beyond the pool's vocabulary do not count."""
-    idf = token_idf(recs, max_df).drop("df")
-    block = F.substring("token", 1, 1)
-    pool = postings(recs.where("source <> 'S1'")).join(idf, ["country", "source", "token"]).withColumn("block", block)
-    asked = postings(recs.where("source = 'S1'")).drop("source").join(idf, ["country", "token"]).withColumn("block", block)
-    extra = ["block"] if field_weights else []
-    scale = F.when(F.col("block") == "n", F.lit(field_weights[0])).otherwise(F.lit(field_weights[1])) if field_weights else None
+    cosines of name and address blocks. Query tokens beyond the pool's vocabulary do not count.
+
+    field_weights: of name, of address and, if given, the share of the address weight that the name of a pool record
+    without address tokens takes over. posted: the postings where they are not those of postings().
+    """
+    idf = token_idf(recs, max_df, posted).drop("df")
+    posted = postings(recs) if posted is None else posted
+    block = F.when(F.col("token").startswith("a:"), F.lit("a")).otherwise(F.lit("n"))
+    pool = posted.where("source <> 'S1'").join(idf, ["country", "source", "token"]).withColumn("block", block)
+    asked = posted.where("source = 'S1'").drop("source").join(idf, ["country", "token"]).withColumn("block", block)
+    extra, scale, bare = [], None, None
+    if field_weights:
+        extra = ["block"]
+        scale = F.when(F.col("block") == "n", F.lit(field_weights[0])).otherwise(F.lit(field_weights[1]))
+        if len(field_weights) > 2:
+            alone = F.sum((F.col("block") == "a").cast("int")).over(Window.partitionBy("entity_id")) == 0
+            bare = F.when(alone, F.lit((field_weights[0] + field_weights[2] * field_weights[1]) / field_weights[0])).otherwise(F.lit(1.0))
     q = _normed(asked, ["entity_id", "source", *extra], scale).select("country", "source", "token", F.col("entity_id").alias("s1"), F.col("w").alias("wq"))
-    p = _normed(pool, ["entity_id", *extra]).select("country", "source", "token", F.col("entity_id").alias("cand"), F.col("w").alias("wp"))
+    p = _normed(pool, ["entity_id", *extra], bare).select("country", "source", "token", F.col("entity_id").alias("cand"), F.col("w").alias("wp"))
     return q.join(p, ["country", "source", "token"]).groupBy("s1", "cand", "source").agg(F.round(F.sum(F.col("wq") * F.col("wp")), 6).alias("score"))
 
 
