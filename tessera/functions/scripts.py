@@ -102,7 +102,7 @@ def skeleton_of_words(words: list[str], learnt: Mapping[str, str] | None = None)
 
 
 def non_latin_share(text: str) -> float:
-    """Share of the characters beyond white space that are neither Latin nor digits."""
+    """Share of the characters beyond white space that are neither Latin nor digits; 1 for a text without any."""
     counts: Counter[str] = Counter()
     for script, run in runs(text):
         counts[script] += len(run)

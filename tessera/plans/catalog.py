@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.normalize import normalize_column
-from tessera.functions.text import LEGAL_FORMS
+from tessera.functions.text import LEGAL_FORMS, strip_legal_forms
 from tessera.operators import blocking as B
 from tessera.operators import decide as D
 from tessera.operators import features as X
+from tessera.operators import linkage as L
+from tessera.operators import ngrams as G
+from tessera.operators import pairfeatures as P
 from tessera.operators import records as R
+from tessera.operators import represent as E
+from tessera.operators import scoring as M
+from tessera.session import durable
 from tessera.sources.tabular import findings
 
 FLAGSHIP = "link_records"
@@ -300,3 +306,167 @@ def validator_findings(recs):
 @query()
 def normalize_text(recs):
     return recs.select("entity_id", normalize_column(recs.sparkSession, F.col("name_key")).alias("name_norm"))
+
+
+PLAIN = f"""reps AS (
+  SELECT entity_id, source, country, name_tokens AS name_words, name_key, addr_key, addr_tokens AS addr_words,
+         list_filter(name_tokens, lambda x: NOT list_contains({FORMS}, x)) AS name_kept,
+         array_to_string(list_filter(name_tokens, lambda x: NOT list_contains({FORMS}, x)), '') AS name_core,
+         coalesce(list_filter(addr_tokens, lambda x: regexp_matches(x, '^[0-9]{{1,5}}$'))[1], '') AS addr_number,
+         coalesce(list_filter(addr_tokens, lambda x: NOT regexp_matches(x, '^[0-9]+$'))[1], '') AS addr_street
+  FROM recs)"""
+
+
+def plain_reps(recs: DataFrame) -> DataFrame:
+    """The columns of representations that counting operators read, straight from the tokens, so that SQL can follow."""
+    kept, _ = strip_legal_forms(F.col("name_tokens"))
+    first = lambda keep: F.coalesce(F.get(F.filter("addr_tokens", keep), F.lit(0)), F.lit(""))
+    return recs.select(
+        "entity_id", "source", "country", F.col("name_tokens").alias("name_words"), "name_key", "addr_key", F.col("addr_tokens").alias("addr_words"), kept.alias("name_kept"),
+        F.array_join(kept, "").alias("name_core"), first(lambda t: t.rlike("^[0-9]{1,5}$")).alias("addr_number"), first(lambda t: ~t.rlike("^[0-9]+$")).alias("addr_street"),
+    )
+
+
+@query(
+    with_(R.RECS, "w AS (SELECT country, word FROM (SELECT country, unnest(name_tokens) AS word FROM recs WHERE source = 'S1') WHERE regexp_matches(word, '^[A-Za-z]{2,}$'))")
+    + "SELECT country, word, round(ln(sum(count(*)) OVER (PARTITION BY country)::DOUBLE / count(*)), 6) AS cost FROM w GROUP BY country, word"
+)
+def segmentation_costs(recs):
+    return E.word_costs(plain_reps(recs)).select("country", "word", F.round("cost", 6).alias("cost"))
+
+
+@query(
+    with_(R.RECS, PLAIN)
+    + """, keyed AS (SELECT entity_id, source, country, unnest(list_filter([
+    CASE WHEN length(name_core) >= 4 AND addr_number <> '' THEN 'cn|' || name_core || '|' || addr_number END,
+    CASE WHEN length(name_core) >= 4 AND addr_number <> '' THEN 'sn|' || array_to_string(list_sort(name_kept), '') || '|' || addr_number END,
+    CASE WHEN length(name_core) >= 6 THEN 'c|' || name_core END], lambda k: k IS NOT NULL)) AS key FROM reps),
+rare AS (SELECT source, country, key FROM keyed WHERE source <> 'S1' GROUP BY ALL HAVING count(*) <= CASE WHEN key LIKE 'c|%' THEN 1 ELSE 5 END)
+SELECT DISTINCT s.entity_id AS s1, p.entity_id AS cand, p.source FROM keyed p JOIN rare USING (source, country, key)
+JOIN keyed s ON s.source = 'S1' AND s.country = p.country AND s.key = p.key"""
+)
+def name_number_keys(recs):
+    return E.exact_keys(plain_reps(recs))
+
+
+def _counts_sql() -> str:
+    keys = {"name_key": "name_key", "addr_key": "addr_key", "core": "name_core", "numkey": "CASE WHEN addr_number <> '' AND addr_street <> '' THEN addr_number || '|' || addr_street ELSE '' END",
+            "whole": "CASE WHEN len(list_distinct(addr_words)) >= 3 THEN array_to_string(list_sort(list_distinct(addr_words)), ' ') ELSE '' END"}
+    keyed = "keyed AS (SELECT entity_id, source, country, name_words, " + ", ".join(f"{sql} AS {k}" for k, sql in keys.items()) + " FROM reps)"
+    counts = [f"c_{k} AS (SELECT country, {k}, " + ", ".join(f"count(*) FILTER (source = '{s}') AS {k}_{s.lower()}" for s in ("S1", "S2", "S3")) + f" FROM keyed WHERE {k} <> '' GROUP BY ALL)" for k in keys]
+    shown = ", ".join(f"coalesce({k}_{s}, 0) AS {k}_{s}" for k in keys for s in ("s1", "s2", "s3"))
+    joins = " ".join(f"LEFT JOIN c_{k} ON c_{k}.country = keyed.country AND c_{k}.{k} = keyed.{k}" for k in keys)
+    rest = f"""na AS (SELECT source, country, core, count(DISTINCT numkey) AS naddr FROM keyed WHERE core <> '' AND numkey <> '' GROUP BY ALL),
+nn AS (SELECT source, country, numkey, count(DISTINCT core) AS nnames FROM keyed WHERE core <> '' AND numkey <> '' GROUP BY ALL),
+words AS (SELECT entity_id, country, source, unnest(name_words) AS word FROM keyed),
+known AS (SELECT DISTINCT country, word FROM words WHERE source = 'S1' AND length(word) >= 3),
+frac AS (SELECT entity_id, avg((k.word IS NOT NULL)::INTEGER) AS f FROM words w LEFT JOIN known k ON k.country = w.country AND k.word = w.word
+         WHERE length(w.word) >= 3 AND regexp_full_match(w.word, '[\\x00-\\x7f]*') AND NOT list_contains({FORMS}, w.word) GROUP BY entity_id)"""
+    return f"""{with_(R.RECS, PLAIN, keyed, *counts, rest)}SELECT keyed.entity_id, {shown}, coalesce(naddr, 0) AS naddr, coalesce(nnames, 0) AS nnames, round(coalesce(f, -1), 6) AS tok_frac
+FROM keyed {joins} LEFT JOIN na ON na.source = keyed.source AND na.country = keyed.country AND na.core = keyed.core
+LEFT JOIN nn ON nn.source = keyed.source AND nn.country = keyed.country AND nn.numkey = keyed.numkey LEFT JOIN frac ON frac.entity_id = keyed.entity_id"""
+
+
+@query(_counts_sql())
+def record_counts(recs):
+    return P.record_counts(plain_reps(recs)).withColumn("tok_frac", F.round("tok_frac", 6))
+
+
+@query(
+    with_(R.RECS, PLAIN)
+    + """, w AS (SELECT DISTINCT entity_id, source, country, unnest(list_concat(list_transform(name_kept, lambda x: 'n:' || x), list_transform(addr_words, lambda x: 'a:' || x))) AS word FROM reps),
+n AS (SELECT country, count(*) AS n FROM reps WHERE source <> 'S1' GROUP BY country), c AS (SELECT country, word, count(*) AS c FROM w WHERE source <> 'S1' GROUP BY ALL)
+SELECT entity_id, word, round(CASE WHEN c IS NULL THEN ln(greatest(n, 2)::DOUBLE) ELSE ln(n::DOUBLE / c) END, 6) AS weight FROM w JOIN n USING (country) LEFT JOIN c USING (country, word)"""
+)
+def token_weights(recs):
+    weights = P.token_weights(plain_reps(recs))
+    of = lambda c, tag: weights.select("entity_id", F.explode(c).alias("word", "weight")).select("entity_id", F.concat(F.lit(tag), "word").alias("word"), F.round("weight", 6).alias("weight"))
+    return of("name_idf", "n:").unionByName(of("addr_idf", "a:"))
+
+
+@query("WITH " + R.RECS + ",\n" + G.GRAM_TOPK)
+def char_ngram_topk(recs):
+    """The n-gram channel from S1 to one pool, weights fitted on both."""
+    of = lambda s: recs.where(F.col("source") == s).select("country", F.col("entity_id").alias("id"), F.col("name_key").alias("text"))
+    return G.gram_top_k(of("S1"), of("S2"))
+
+
+@query(
+    with_(*FORWARD)
+    + """, z AS (SELECT unnest(b.name_tokens) AS word, unnest(a.name_tokens) AS latin FROM topk k JOIN recs a ON a.entity_id = k.s1 JOIN recs b ON b.entity_id = k.cand
+  WHERE block_score >= 0.5::DOUBLE AND len(a.name_tokens) = len(b.name_tokens)),
+c AS (SELECT word, latin, count(*) AS n FROM z WHERE NOT regexp_full_match(word, '[\\x00-\\x7f]*') AND regexp_matches(latin, '^[A-Za-z]+$') GROUP BY ALL)
+SELECT word, latin, n FROM (SELECT *, sum(n) OVER (PARTITION BY word) AS total, row_number() OVER (PARTITION BY word ORDER BY n DESC, latin) AS rn FROM c) WHERE rn = 1 AND n >= 2 AND n::DOUBLE / total >= 0.6::DOUBLE"""
+)
+def learnt_dictionary(recs):
+    """Words beyond ASCII with the ASCII word that linked S1 names put in their place."""
+    linked = forward(recs).where("block_score >= 0.5").select("s1", "cand")
+    return E.transliterations(plain_reps(recs), linked, native="[^\\x00-\\x7f]")
+
+
+def business(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as business records with raw names (words 1-8) and addresses (words 9-20)."""
+    words = F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")
+    role = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"))
+    part = lambda at, n: F.array_join(F.slice(words, at, n), " ")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
+    return docs.select(F.concat(role, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), role.alias("source"), F.col("lang").alias("country"), part(1, 8).alias("business_name"), part(9, 12).alias("business_address"))
+
+
+def represented(build: Callable[[DataFrame], DataFrame]) -> Callable:
+    """Register a query over represented business records, which SQL cannot express."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(E.represent(business(spark, sf_dir)))
+
+    QUERIES[build.__name__] = run
+    return build
+
+
+def featured(reps: DataFrame) -> DataFrame:
+    reps = durable(reps)
+    policy = L.Policy(empty_k=2)
+    return durable(P.pair_features(L.prune_candidates(L.link_candidates(reps, policy), reps, policy), reps))
+
+
+def labelled(features: DataFrame) -> DataFrame:
+    """Pairs of equal name keys count as true; the features that say so are left out of TRAINED."""
+    return M.with_labels(features, features.where("name_key_exact_match = 1"))
+
+
+TRAINED = [f for f in P.FEATURES if f not in ("name_key_exact_match", "name_core_match", "name_char_ngram_jaccard", "name_skeleton_ngram_jaccard")]
+
+
+@represented
+def represent_records(reps):
+    return reps
+
+
+@represented
+def glued_names(reps):
+    return E.segmented_names(reps, E.word_costs(reps))
+
+
+@represented
+def pair_features(reps):
+    """All 88 features of the pruned candidates of every channel."""
+    return featured(reps)
+
+
+@represented
+def boosted_scores(reps):
+    """Mean probability of two boosted models that differ in their seed."""
+    rows = labelled(featured(reps))
+    return M.score(rows, M.train_ensemble(rows, TRAINED, members=2, maxIter=5, maxDepth=4), TRAINED).select("s1", "cand", "label", "p")
+
+
+@represented
+def supervised_filter(reps):
+    """Candidates that the stage-one model keeps, by a threshold that keeps 99 % of the true pairs out of fold."""
+    rows = featured(reps)
+    countries = reps.where("source = 'S1'").select(F.col("entity_id").alias("s1"), "country")
+    stage = durable(M.with_labels(M.stage_one(rows, countries), rows.where("name_key_exact_match = 1")))
+    if not stage.where("label = 1").limit(1).count():
+        return stage.select("s1", "cand", "source", F.lit(None).cast("double").alias("p"))
+    model, tau, _ = M.fit_filter(stage, 0.99, maxIter=5, maxDepth=4)
+    return M.score(stage, model, M.STAGE_ONE).where(F.col("p") >= tau).select("s1", "cand", "source", "p")
