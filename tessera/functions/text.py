@@ -16,9 +16,13 @@ LEGAL_FORMS = {
 PHONETIC_FROM, PHONETIC_TO = "bfpvwcgjkqsxzdtlmnraeiouyh", "1111122222222334556"
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words; none for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD), lambda t: t != "")
+def tokens(text: Column, first: int | None = None) -> Column:
+    """Lower-case words, or the first so many of them; none for null."""
+    if first is None:
+        return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD), lambda t: t != "")
+    # the pattern stops after the words asked for: one piece more for an empty start, one for the rest
+    pieces = F.slice(F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD, first + 2), 1, first + 1)
+    return F.slice(F.filter(pieces, lambda t: t != ""), 1, first)
 
 
 def strip_legal_forms(words: Column) -> tuple[Column, Column]:

@@ -75,7 +75,10 @@ def scored_pairs(recs: DataFrame, max_df: int = 50_000, field_weights: tuple[flo
             bare = F.when(alone, F.lit((field_weights[0] + field_weights[2] * field_weights[1]) / field_weights[0])).otherwise(F.lit(1.0))
     q = _normed(asked, ["entity_id", "source", *extra], scale).select("country", "source", "token", F.col("entity_id").alias("s1"), F.col("w").alias("wq"))
     p = _normed(pool, ["entity_id", *extra], bare).select("country", "source", "token", F.col("entity_id").alias("cand"), F.col("w").alias("wp"))
-    return q.join(p, ["country", "source", "token"]).groupBy("s1", "cand", "source").agg(F.round(F.sum(F.col("wq") * F.col("wp")), 6).alias("score"))
+    shared = q.join(p, ["country", "source", "token"]).select("s1", "cand", "source", (F.col("wq") * F.col("wp")).alias("part"))
+    # two records rarely share two tokens of one partition, so combining before the exchange would not pay; by s1 alone the
+    # exchange also serves the ranking of each S1 record's list
+    return shared.repartition("s1").groupBy("s1", "cand", "source").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def _pairs_sql(fields: str = "", block: str = "") -> str:

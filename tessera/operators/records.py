@@ -10,7 +10,7 @@ from tessera.functions.text import tokens
 
 def records_of_documents(docs: DataFrame) -> DataFrame:
     """A linkage view of documents: doc_id mod 3 names the source, words 1-8 the name, 9-20 the address, lang the country."""
-    words = tokens(F.col("text"))
+    words = tokens(F.col("text"), first=20)
     base = docs.where("doc_id is not null").select("doc_id", F.coalesce("lang", F.lit("")).alias("country"), (F.col("doc_id") % 3).cast("int").alias("role"), words.alias("t"))
     return base.select(
         F.concat(F.get(F.array(F.lit("S1-"), F.lit("S2-"), F.lit("S3-")), F.col("role")), F.col("doc_id").cast("string")).alias("entity_id"),
