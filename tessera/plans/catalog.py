@@ -470,3 +470,21 @@ def supervised_filter(reps):
         return stage.select("s1", "cand", "source", F.lit(None).cast("double").alias("p"))
     model, tau, _ = M.fit_filter(stage, 0.99, maxIter=5, maxDepth=4)
     return M.score(stage, model, M.STAGE_ONE).where(F.col("p") >= tau).select("s1", "cand", "source", "p")
+
+
+@query(
+    with_(*FORWARD, SCORED, TRUTH)
+    + """, g AS (SELECT a.t AS tau0, b.t AS tau_fallback, c.t AS tau FROM (SELECT (30 + 5 * unnest(range(0, 14))) / 100.0::DOUBLE AS t) a
+  JOIN (SELECT (30 + 5 * unnest(range(0, 14))) / 100.0::DOUBLE AS t) b ON a.t <= b.t JOIN (SELECT (30 + 5 * unnest(range(0, 14))) / 100.0::DOUBLE AS t) c ON b.t <= c.t),
+ranked AS (SELECT s.s1, p, (o.cand IS NOT NULL)::INTEGER AS t, max(p) OVER (PARTITION BY s.s1) AS best,
+           row_number() OVER (PARTITION BY s.s1 ORDER BY p DESC, (o.cand IS NOT NULL)::INTEGER DESC, s.cand DESC) AS rn FROM scored s LEFT JOIN owned o ON o.s1 = s.s1 AND o.cand = s.cand),
+picked AS (SELECT s1, tau0, tau_fallback, tau, count(*) AS n_pred, sum(t) AS tp FROM ranked, g
+           WHERE best >= tau0 AND CASE WHEN best >= tau THEN p >= tau ELSE best >= tau_fallback AND rn = 1 END GROUP BY ALL),
+n AS (SELECT s1, count(*) AS n_true FROM owned GROUP BY s1)
+SELECT tau0, tau_fallback, tau, round(avg(round(CASE WHEN n_true IS NULL AND n_pred IS NULL THEN 1.0::DOUBLE WHEN coalesce(tp, 0) = 0 THEN 0.0::DOUBLE
+  ELSE 1.25::DOUBLE * tp / (0.25::DOUBLE * coalesce(n_true, 0) + n_pred) END, 6)), 9) AS macro_f
+FROM (SELECT entity_id AS s1 FROM recs WHERE source = 'S1') e CROSS JOIN g LEFT JOIN picked USING (s1, tau0, tau_fallback, tau) LEFT JOIN n USING (s1) GROUP BY ALL"""
+)
+def rule_sweep(recs):
+    """Macro F of every three-threshold rule of the grid 0.30 to 0.95."""
+    return D.sweep_rules(scored(recs), owned_truth(recs), s1_of(recs), [(30 + 5 * i) / 100 for i in range(14)])
