@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.mixing import mixed_rows
-from tessera.llm.simhash import simhash_dedup
+from tessera.llm.nearcopies import near_copy_dedup
 from tessera.llm.toxicity import remove_toxic
 from tessera.llm.unigram import sentencepiece_digest
 from tessera.session import durable
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id."""
-    return simhash_dedup(docs)
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8): that of the smallest id."""
+    return near_copy_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,7 +45,10 @@ def shingle_hashes(text: str | None, width: int = 3, seed: int = SEED) -> list[i
 
 def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
     """64 majority bits of the shingles' hashes; 0 for a text without words."""
-    hashes = shingle_hashes(text, width, seed)
+    return fingerprint_of(shingle_hashes(text, width, seed))
+
+
+def fingerprint_of(hashes: list[int]) -> int:
     if not hashes:
         return 0
     h = np.array(hashes, dtype=">u8")
@@ -229,3 +232,18 @@ def simhash_dedup(df: DataFrame, budget: int = 2, width: int = 3, seed: int = SE
     kept = df.select(F.col(id_col).alias("sh_own"), row.alias("sh_row")).join(keep, F.col("sh_own").eqNullSafe(F.col("sh_keep")))
     first = Window.partitionBy("sh_own").orderBy(F.xxhash64(F.col(f"sh_row.{text_col}")))
     return kept.withColumn("sh_rank", F.row_number().over(first)).where("sh_rank = 1").select("sh_row.*")
+
+
+def one_of_each(df: DataFrame, node: Column, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of each group of df: rows of equal node, and of nodes of equal root in roots (node, root).
+
+    First is the smallest id (null last), then the least hash of the text, then of the row.
+    """
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.xxhash64(*plain).alias("all"))
+    rows = df.select(node.alias("sh_node"), order.alias("sh_order"), F.struct(*[F.col(c) for c in df.columns]).alias("sh_row"))
+    linked = roots.select(F.col("node").alias("sh_node"), F.col("root").alias("sh_root"))
+    firsts = durable(rows.select("sh_node", "sh_order").join(linked, "sh_node").groupBy("sh_root", "sh_node").agg(F.min("sh_order").alias("sh_order")))
+    best = firsts.groupBy("sh_root").agg(F.min(F.struct("sh_order", "sh_node")).alias("sh_best")).select("sh_root", F.col("sh_best.sh_node").alias("sh_first"))
+    losers = firsts.join(best, "sh_root").where("sh_node != sh_first").select("sh_node")
+    return rows.groupBy("sh_node").agg(F.min_by("sh_row", "sh_order").alias("sh_row")).join(losers, "sh_node", "left_anti").select("sh_row.*")

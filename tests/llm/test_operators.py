@@ -372,6 +372,25 @@ def test_trie_self_join(spark, monkeypatch, frontier, links):
         assert {roots.get(m, m) for m in members} == {min(members)} or len(members) == 1
 
 
+def test_near_copies(spark):
+    """Edited copies go, at 0.8 exactly too, also by way of one another; texts that share less stay."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(104)]  # 100 shingles
+    edited = base[:50] + ["x"] + base[51:]  # 95 shared of 105
+    chained = [*edited[:20], "y", *edited[21:]]
+    cut = base[:84]  # 80 of 100
+    less = base[:83]
+    rows = [(3, " ".join(edited)), (2, " ".join(base)), (4, " ".join(chained)), (None, " ".join(base)), (5, " ".join(cut)), (6, "one two"), (6, "one three"), (7, None), (8, ""), (None, "no id here"), (None, "nor is one here")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    want = {(2, " ".join(base)), (6, "one two"), (6, "one three"), (7, None), (None, "no id here"), (None, "nor is one here")}
+    assert kept.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+    two = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(less[3:]))], "doc_id long, text string")
+    assert corpus_pipeline.drop_near_copies(spark, two, "").count() == 2
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline(spark, sf_dir, tmp_path):
     import corpus_pipeline
 
