@@ -222,16 +222,13 @@ def simhash_groups(df: DataFrame, budget: int = 2, width: int = 3, seed: int = S
 def simhash_dedup(df: DataFrame, budget: int = 2, width: int = 3, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each group: that of the smallest id; of rows that share it, the one of least text hash.
 
-    Groups without any id keep one row as well. All columns of df stay as they are.
+    Rows without an id come last in their group, so groups without any id keep one row as well. All columns of df stay
+    as they are.
     """
-    from pyspark.sql.window import Window
-
-    groups = simhash_groups(df, budget, width, seed, id_col, text_col)
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("sh_keep")).distinct()
-    row = F.struct(*[F.col(c) for c in df.columns])
-    kept = df.select(F.col(id_col).alias("sh_own"), row.alias("sh_row")).join(keep, F.col("sh_own").eqNullSafe(F.col("sh_keep")))
-    first = Window.partitionBy("sh_own").orderBy(F.xxhash64(F.col(f"sh_row.{text_col}")))
-    return kept.withColumn("sh_rank", F.row_number().over(first)).where("sh_rank = 1").select("sh_row.*")
+    ship(df.sparkSession)
+    print_of = fingerprint_column(F.col(text_col), width, seed)
+    nodes = durable(df.select(print_of.alias("fp")).distinct())
+    return one_of_each(df, print_of, durable(components(near_links(nodes, "fp", budget))), id_col, text_col)
 
 
 def one_of_each(df: DataFrame, node: Column, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -391,6 +391,14 @@ def test_near_copies(spark):
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
 
 
+def test_simhash_dedup_keeps_one_row_a_group(spark):
+    """Rows that share an id, or have none, are not copies of each other."""
+    rows = [(None, "one two three four"), (None, "five six seven eight"), (None, "five six seven eight"), (9, "red green blue"), (9, "sun moon stars"), (4, "sun moon stars")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or -1, r.text) for r in simhash.simhash_dedup(docs).collect()))
+    assert got == [(-1, "five six seven eight"), (-1, "one two three four"), (4, "sun moon stars"), (9, "red green blue")]
+
+
 def test_pipeline(spark, sf_dir, tmp_path):
     import corpus_pipeline
 
