@@ -178,6 +178,8 @@ def read_stream(data: bytes) -> Stream:
     while at + 4 <= end:
         head = parse_header(data[at : at + 4])
         after = at + head.length if head else 0
+        if head and end < after <= len(data) and (after == len(data) or parse_header(data[after : after + 4])):
+            end = len(data)  # a complete frame spans what looked like a trailing tag
         if not head or after > end or not (locked or after == end or parse_header(data[after : after + 4])):
             found = data.find(b"\xff", at + 1, end)
             out.skipped += (found if found >= 0 else end) - at

@@ -122,6 +122,19 @@ def test_mpeg_round_trip(odd, none):
     assert mpeg.media_features(none).count() == 0
 
 
+@pytest.mark.parametrize("units", [1, 2, 3, 7])
+def test_mpeg_payload_like_a_trailing_tag(units):
+    payload = bytearray(b"x" * (units * mpeg.UNIT))
+    clean = mpeg.write_stream(bytes(payload))
+    last = mpeg.read_stream(clean).offsets[-1]
+    at = len(clean) - 128 - last - 4 - 2 - mpeg.SIDE_INFO[1, True] + (units - 1) // 3 * 3 * mpeg.UNIT
+    payload[at : at + 3] = b"TAG"
+    data = mpeg.write_stream(bytes(payload))
+    assert data[-128:-125] == b"TAG" and mpeg.read_stream(data).payload == bytes(payload) and mpeg.read_stream(data).skipped == 0
+    tagged = mpeg.read_stream(clean + b"TAG" + bytes(125))
+    assert tagged.payload == mpeg.read_stream(clean).payload and tagged.skipped == 0
+
+
 def test_rotation(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo 🙂"), (1, 2, "bob", "yo 🙂"), (1, 3, None, None), (2, 0, "system", "alone"), (None, 0, "ann", "x" * 200)]
     talk = spark.createDataFrame([(*r, "p", 9) for r in rows], "conv_id long, turn int, role string, text string, perspective string, part int")
