@@ -1,10 +1,12 @@
 """Near copies by word shingles: all pairs of texts whose sets of five-word shingles have a Jaccard of at least 0.8.
 
-Cheap links come first: texts that share a SimHash group or one of a few minimum hashes are compared with the least of
-them, which joins a large group at one comparison a member and key. Then a prefix filter finds every other pair that can
-reach the bound: in one global order of shingles, two such sets share one of their first n - ceil(0.8 n) + 1. The order
-puts shingles last that are common in a sample, which only saves work: any order finds all pairs. Only pairs of parts not
-yet joined are formed, and every link is checked on the whole texts, so nothing rests on the chance of a hash.
+Every text is hashed once; its sorted shingle hashes are a written table that all later steps read. Cheap links come
+first: texts that share a SimHash group or one of a few minimum hashes are compared with the least of them, which joins a
+large group at one comparison a member and key. Then a prefix filter finds every other pair that can reach the bound: in
+one global order of shingles, two such sets share one of their first n - ceil(0.8 n) + 1. The order puts shingles last
+that are common in a sample, which only saves work: any order finds all pairs. Only pairs of parts not yet joined are
+formed; those whose overlap is bounded below 0.8 by the counts of their hashes in 256 ranges are left out, and every
+link is checked on the whole sets, so nothing rests on the chance of a minimum hash.
 """
 
 from __future__ import annotations
@@ -13,20 +15,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
-from tessera.llm.simhash import components, fingerprint_of, near_links, one_of_each, shingle_hashes
-from tessera.session import durable, ship
+from tessera.llm.simhash import components, fingerprint_of, near_links, one_of_each
+from tessera.session import durable, ship, written
 
 WIDTH = 5
 #: Minimum hashes a text is linked by first.
 MINIMA = 8
 #: Texts that common shingles are counted on, by hash of the text, and shingles that stand last at most.
 SAMPLE_TEXTS, COMMON = 4000, 1 << 17
+#: Words whose hashes a worker remembers, and hashes in a batch of sets that it hands on.
+MEMO_WORDS, BATCH = 200_000, 1 << 20
 ODD = np.random.default_rng(7).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+class _Words(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 7)
+        return h
+
+
+_words = _Words()
 
 
 def least_common(n):
@@ -34,113 +54,164 @@ def least_common(n):
     return (4 * n + 4) // 5
 
 
-def node_of(text: str | None) -> int:
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+
+
+def node_of(words: list[bytes]) -> int:
     """Equal for texts of equal words, signed."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(words))).view(np.int64))
 
 
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """One hash of each run of WIDTH words, of the whole sequence if there are fewer; repeats included."""
+    h = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    width = min(WIDTH, len(h))
+    if not width:
+        return h
+    out = np.full(len(h) - width + 1, width, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            out = (out ^ (out >> np.uint64(32))) * PRIME + h[i : len(h) - width + 1 + i]
+        out = (out ^ (out >> np.uint64(31))) * MIX
+    return out ^ (out >> np.uint64(29))
+
+
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, WIDTH), dtype=np.uint64))
+    return np.unique(shingle_hashes(words_of(text)))
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Of two sorted sets."""
+    return len(np.intersect1d(x, y, assume_unique=True))
 
 
 def node_column(text: Column) -> Column:
     @pandas_udf("long")
     def kernel(texts: pd.Series) -> pd.Series:
-        return pd.Series([node_of(t) for t in texts], dtype="int64")
+        return pd.Series([node_of(words_of(t)) for t in texts], dtype="int64")
 
     return kernel(text)
 
 
-def jaccard(a: str | None, b: str | None) -> tuple[int, int]:
-    """Sizes of the intersection and the union."""
-    x, y = shingle_set(a), shingle_set(b)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both, len(x) + len(y) - both
+def sketches(texts: DataFrame) -> DataFrame:
+    """node, n, fp, least (minimum hashes) and shingles (sorted, 8 bytes each) of every text that has words."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["node", "n", "fp", "least", "shingles"])
+
+        for b in batches:
+            rows, held, seen = [], 0, set()
+            for t in b.column("text"):
+                words = words_of(t.as_py())
+                if not words or (node := node_of(words)) in seen:
+                    continue
+                seen.add(node)
+                hashes = shingle_hashes(words)
+                h = np.unique(hashes)
+                with np.errstate(over="ignore"):
+                    least = [int((((h * m) ^ ((h * m) >> np.uint64(29))) * m).min().view(np.int64)) for m in ODD]
+                rows.append((node, len(h), int(np.uint64(fingerprint_of(hashes)).view(np.int64)), least, h.astype("<u8").tobytes()))
+                held += len(h)
+                if held > BATCH:
+                    yield out()
+                    rows, held = [], 0
+            if rows:
+                yield out()
+
+    return texts.mapInArrow(kernel, "node long, n int, fp long, least array<long>, shingles binary")
+
+
+def ranges_of(shingles: Column) -> Column:
+    """How many of the hashes lie in each of 256 equal ranges, one byte each; 255 stands for as many or more."""
+
+    @pandas_udf("binary")
+    def kernel(sets: pd.Series) -> pd.Series:
+        return pd.Series([np.minimum(np.bincount(np.frombuffer(s, dtype="<u8") >> np.uint64(56), minlength=256), 255).astype(np.uint8).tobytes() for s in sets], dtype=object)
+
+    return kernel(shingles)
+
+
+@pandas_udf(BooleanType())
+def _may_reach(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    if not len(a):
+        return pd.Series([], dtype=bool)
+    x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(-1, 256) for s in (a, b))
+    both = np.minimum(x, y)
+    return pd.Series((both.max(axis=1) == 255) | (9 * both.sum(axis=1, dtype=np.int64) >= 4 * (n.to_numpy(np.int64) + m.to_numpy(np.int64))))
 
 
-def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (u, v) of nodes with a Jaccard of at least 0.8. texts: node, text."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    found = durable(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+@pandas_udf(BooleanType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for s, t in zip(a, b):
+        x, y = np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8")
+        out.append(9 * overlap(x, y) >= 4 * (len(x) + len(y)))
+    return pd.Series(out, dtype=bool)
 
-    @pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            both, either = jaccard(x, y)
-            out.append(either > 0 and 5 * both >= 4 * either)
-        return pd.Series(out, dtype=bool)
 
-    of = lambda n: found.select(F.col("node").alias(n), F.col("text").alias(f"{n}_text"))
-    return durable(pairs.join(of("u"), "u").join(of("v"), "v").where(near("u_text", "v_text")).select("u", "v"))
+def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (u, v) of nodes with a Jaccard of at least 0.8."""
+
+    def sides(of: DataFrame, what: DataFrame, value: str) -> DataFrame:
+        wanted = of.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        found = durable(what.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first(value).alias(value)))
+        side = lambda n: found.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), F.col(value).alias(f"{n}_{value}"))
+        return of.join(side("u"), "u").join(side("v"), "v")
+
+    counts = sets.select("node", "n", ranges_of(F.col("shingles")).alias("ranges"))
+    hopeful = durable(sides(pairs, counts, "ranges").where(_may_reach("u_ranges", "v_ranges", "u_n", "v_n")).select("u", "v"))
+    return durable(sides(hopeful, sets.select("node", "n", "shingles"), "shingles").where(_near("u_shingles", "v_shingles")).select("u", "v"))
 
 
 def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, root) of every node (node_column()) that has a near copy other than itself."""
     spark = df.sparkSession
     ship(spark)
-    texts = df.select(F.col(text_col).alias("text"))
-
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b.text:
-                hashes = shingle_hashes(t, WIDTH)
-                h = np.unique(np.array(hashes, dtype=np.uint64))
-                mixed = [((h * m) ^ ((h * m) >> np.uint64(29))) * m for m in ODD] if len(h) else []
-                rows.append((node_of(t), len(h), int(np.uint64(fingerprint_of(hashes)).view(np.int64)), [int(x.min().view(np.int64)) for x in mixed]))
-            yield pd.DataFrame(rows, columns=["node", "n", "fp", "least"])
-
-    sketches = texts.mapInPandas(sketch, "node long, n int, fp long, least array<long>")
-    nodes = durable(sketches.groupBy("node").agg(F.max("n").alias("n"), F.min("fp").alias("fp"), F.max("least").alias("least")).where("n > 0"))
+    sets = written(sketches(df.select(F.col(text_col).alias("text"))), "shingles")
+    nodes = durable(sets.groupBy("node").agg(F.max("n").alias("n"), F.min("fp").alias("fp"), F.max("least").alias("least")))
     prints = durable(nodes.select("fp").distinct())
     alike = durable(components(near_links(prints, "fp", 2)))
     by_print = nodes.join(alike.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", F.lit(-1).alias("at"), F.coalesce("root", "fp").alias("key"))
     keys = durable(by_print.unionByName(nodes.select("node", F.posexplode("least").alias("at", "key"))))
     first = keys.groupBy("at", "key").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v").select("at", "key", "u")
     stars = durable(keys.join(first, ["at", "key"]).where("node > u").select("u", F.col("node").alias("v")).distinct())
-    by_node = texts.select(node_column(F.col("text")).alias("node"), "text")
-    links = checked(stars, by_node)
+    links = checked(stars, sets)
     roots = durable(components(links))
 
     every = max(1, nodes.count() // SAMPLE_TEXTS)
-    sampled = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.text:
-                yield pd.DataFrame({"key": shingle_set(t).view(np.int64)})
+            for s in b.column("shingles"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s.as_buffer(), dtype="<i8"))], names=["key"])
 
-    counted = sampled.mapInPandas(spread, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).toPandas()
-    counted["key"] = counted["key"].to_numpy(dtype=np.int64).view(np.uint64)
-    counted = counted.sort_values("key")
-    common = spark.sparkContext.broadcast((counted["key"].to_numpy(dtype=np.uint64), counted["count"].to_numpy(dtype=np.int64)))
+    sampled = sets.where(F.pmod("node", F.lit(every)) == 0).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    counted = sampled.mapInArrow(spread, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(COMMON).toPandas()
+    known, counts = counted["key"].to_numpy(dtype=np.int64).view(np.uint64), counted["count"].to_numpy(dtype=np.int64)
+    order = np.argsort(known)
+    common = spark.sparkContext.broadcast((known[order], counts[order]))
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = common.value
         for b in batches:
-            held, size, seen = [], 0, set()
-            for t in b.text:
-                h, node = shingle_set(t), node_of(t)
-                if not len(h) or node in seen:
-                    continue
-                seen.add(node)
+            found = []
+            for node, s in zip(b.column("node"), b.column("shingles")):
+                h = np.frombuffer(s.as_buffer(), dtype="<u8")
                 rank = np.zeros(len(h), dtype=np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     rank = np.where(known[at] == h, counts[at], 0)
                 n = len(h)
                 took = h[np.lexsort((h, rank))][: n - least_common(n) + 1]
-                held.append(pd.DataFrame({"key": took.view(np.int64), "node": np.int64(node), "n": np.int32(n), "pos": np.arange(len(took), dtype=np.int32)}))
-                size += len(took)
-                if size > 100_000:
-                    yield pd.concat(held)
-                    held, size = [], 0
-            if held:
-                yield pd.concat(held)
-
-    posts = durable(texts.mapInPandas(prefixes, "key long, node long, n int, pos int"))
+                k = len(took)
+                found.append((took.view(np.int64), np.full(k, node.as_py()), np.full(k, n, dtype=np.int32), np.arange(k, dtype=np.int32)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["key", "node", "n", "pos"])
+
+    posts = durable(sets.select("node", "shingles").mapInArrow(prefixes, "key long, node long, n int, pos int"))
     spans = lambda p, c: p.groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo != hi").select("key")
     shared = durable(posts.join(spans(posts, "node"), "key").distinct().join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
     shared = durable(shared.join(spans(shared, "part"), "key"))
@@ -148,7 +219,7 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
     room = F.lit(1) + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) - 1
     fits = (F.col("node") < F.col("o_node")) & (F.col("part") != F.col("o_part")) & (5 * F.least("n", "o_n") >= 4 * F.greatest("n", "o_n")) & (9 * room >= 4 * (F.col("n") + F.col("o_n")))
     pairs = durable(shared.join(other, "key").where(fits).select(F.col("node").alias("u"), F.col("o_node").alias("v")).distinct())
-    return components(links.unionByName(checked(pairs, by_node)))
+    return components(links.unionByName(checked(pairs, sets)))
 
 
 def near_copy_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,8 +48,8 @@ def fingerprint(text: str | None, width: int = 3, seed: int = SEED) -> int:
     return fingerprint_of(shingle_hashes(text, width, seed))
 
 
-def fingerprint_of(hashes: list[int]) -> int:
-    if not hashes:
+def fingerprint_of(hashes: list[int] | np.ndarray) -> int:
+    if not len(hashes):
         return 0
     h = np.array(hashes, dtype=">u8")
     ones = np.zeros(64, dtype=np.int64)
