@@ -2,11 +2,14 @@
 
 A vector is approximated by the sum of one full-dimensional codeword of each codebook. Codebooks are fitted on a bounded
 sample (residual k-means, then rounds of beam-search encoding and least squares); every vector is encoded by beam search
-and keeps its codes and its norm. A query scores the codes by lookup tables of inner products, corrected by the ratio of
-stored and approximated norm, keeps the best, and these are reranked exactly in double precision.
+and keeps its codes, the ratio of its norm to that of its approximation, and the norm of what the approximation leaves.
+A query scores the codes by lookup tables of inner products. Vectors whose score can still reach the best list, by the
+error that the sample shows for the norm they leave, are reranked exactly in double precision at once. So the shortlist
+has no fixed size: it follows the error, and recall does not fall as the table grows.
 
-Queries come in blocks. The codes stream past each block in one sorted pass with a running best list, so a task holds a
-block of queries and one batch of codes, whatever the number of vectors.
+Equal vectors are searched once, as query and as candidate. Queries come in blocks, codes in slices; the codes of a slice
+stream past a block with a running best list, so a task holds a block of queries and one batch of codes, whatever the
+number of vectors. Every query meets every code: the work grows with queries x vectors, the index is sent once a block.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from tessera.session import durable, ship
@@ -26,8 +28,10 @@ from tessera.session import durable, ship
 #: Vectors that the codebooks are fitted on at most, by hash of the id: the documented bound of the sample.
 SAMPLE_ROWS = 8192
 BOOKS, WORDS, BEAM, ROUNDS = 32, 64, 4, 2
-#: Candidates a query reranks, queries in a block, codes in a packed row.
-RERANK, QUERY_BLOCK, CODE_BLOCK = 256, 256, 2048
+#: Share of a sample's true neighbours whose error the rerank allows for, with this factor on top.
+ERROR_QUANTILE, ERROR_FACTOR = 0.995, 1.1
+#: Queries in a block, vectors in a packed row, and queries and vectors that are scored together; slices of codes at most.
+QUERY_BLOCK, CODE_BLOCK, TOGETHER, SLICES = 4096, 64, (256, 2048), 64
 
 
 @dataclass
@@ -104,23 +108,78 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & ~bad & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise the keep highest scores with their ids; ties go to smaller ids."""
-    if scores.shape[1] > keep:
-        floor = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1 : keep]
-        if ((scores >= floor).sum(axis=1) == keep).all():
-            at = np.nonzero(scores >= floor)[1].reshape(len(scores), keep)
-        else:
-            at = np.stack([np.lexsort((i, -s))[:keep] for s, i in zip(scores, ids)])
-        scores, ids = np.take_along_axis(scores, at, axis=1), np.take_along_axis(ids, at, axis=1)
-    return scores, ids
+def encoded(books: Codebooks, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of x, ratio of each norm to its approximation's, and the norm of what the scaled approximation leaves."""
+    x = x.astype(np.float32)
+    codes = books.encode(x)
+    near = books.decode(codes)
+    norm = np.linalg.norm(near, axis=1)
+    ratio = (np.linalg.norm(x, axis=1) / np.where(norm > 0, norm, 1)).astype(np.float32)
+    return codes, ratio, np.linalg.norm(x - near * ratio[:, None], axis=1).astype(np.float32)
+
+
+def allowance(books: Codebooks, x: np.ndarray, k: int) -> float:
+    """How far scores of true neighbours fall short, as a share of the norms of query and remainder, by the sample x."""
+    codes, ratio, left = encoded(books, x)
+    near = books.decode(codes) * ratio[:, None]
+    short = []
+    for i in range(0, len(x), max(1, len(x) // 256)):
+        exact = x @ x[i]
+        exact[i] = -np.inf
+        best = np.argsort(-exact)[:k]
+        best = best[np.isfinite(exact[best])]
+        short.append((exact[best] - near[best] @ x[i]) / np.maximum(left[best] * np.linalg.norm(x[i]), 1e-12))
+    return float(max(0.0, np.quantile(np.concatenate(short), ERROR_QUANTILE)) * ERROR_FACTOR) if any(map(len, short)) else 1.0
+
+
+class Block:
+    """A block of queries with their running best lists of k exact scores, by score and then by smaller id."""
+
+    def __init__(self, books: Codebooks, queries: np.ndarray, k: int, error: float) -> None:
+        self.k, self.error, self.queries = k, error, queries.astype(np.float64)
+        self.norms = np.linalg.norm(self.queries, axis=1).astype(np.float32)
+        self.tables = np.einsum("qd,mwd->mqw", queries.astype(np.float32), books.words, optimize=True)
+        n = len(queries)
+        self.scores = np.full((n, k), -np.inf)
+        self.ids = np.full((n, k), np.iinfo(np.int64).max)
+        self.keys = np.zeros((n, k, 2), dtype=np.int64)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, codes: np.ndarray, ratio: np.ndarray, left: np.ndarray, x: np.ndarray) -> None:
+        step = TOGETHER[0]
+        for lo in range(0, len(self.queries), step):
+            part = slice(lo, lo + step)
+            found = np.take(self.tables[0, part], codes[:, 0], axis=1)
+            for m in range(1, codes.shape[1]):
+                found += np.take(self.tables[m, part], codes[:, m], axis=1)
+            found *= ratio
+            found += np.float32(self.error) * self.norms[part, None] * left
+            q, c = np.nonzero(found >= (self.scores[part, -1:] - 1e-5 * self.norms[part, None]).astype(np.float32))
+            for at in range(0, len(q), 1 << 16):
+                self.rerank(lo + q[at : at + (1 << 16)], c[at : at + (1 << 16)], keys, ids, x)
+
+    def rerank(self, q: np.ndarray, c: np.ndarray, keys: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        """Take vectors c into the lists of queries q (sorted), by exact scores."""
+        exact = (self.queries[q] * x[c].astype(np.float64)).sum(axis=1)
+        keep = (exact > self.scores[q, -1]) | ((exact == self.scores[q, -1]) & (ids[c] < self.ids[q, -1]))
+        q, c, exact = q[keep], c[keep], exact[keep]
+        who, counts = np.unique(q, return_counts=True)
+        if not len(who):
+            return
+        row = np.repeat(np.arange(len(who)), counts)
+        all_row = np.concatenate([np.repeat(np.arange(len(who)), self.k), row])
+        score = np.concatenate([self.scores[who].ravel(), exact])
+        ident = np.concatenate([self.ids[who].ravel(), ids[c]])
+        key = np.concatenate([self.keys[who].reshape(-1, 2), keys[c]])
+        order = np.lexsort((ident, -score, all_row))
+        starts = np.cumsum(counts + self.k) - (counts + self.k)
+        best = order[starts[:, None] + np.arange(self.k)]
+        self.scores[who], self.ids[who], self.keys[who] = score[best], ident[best], key[best]
 
 
 def search(
     df: DataFrame,
     query_every: int = 20,
     k: int = 20,
-    rerank: int = RERANK,
     books: int = BOOKS,
     words: int = WORDS,
     sample_rows: int = SAMPLE_ROWS,
@@ -129,107 +188,112 @@ def search(
 ) -> DataFrame:
     """query_id, rank, id and score: the k nearest of each row whose id is divisible by query_every, by inner product.
 
-    Null, empty and zero vectors and those with null or non-finite components take no part; nor do vectors whose length
-    is not the commonest (of equals the largest). A null id takes no part either. An id that repeats is one vector, its
-    largest. Ties go to smaller ids. Fewer candidates than k give as many rows. An empty table gives an empty result;
-    other columns do not matter. Scores are double-precision inner products of the original vectors.
+    Null, empty and zero vectors and those with null or non-finite components take no part, nor do rows of a null id.
+    Every other row does: vectors of unequal lengths count as filled up with zeros, rows that share an id are rows of
+    their own, and a query leaves out one row only, its own. Ties go to smaller ids. Fewer candidates than k give as many
+    rows. An empty table gives an empty result; other columns do not matter. Scores are double-precision inner products
+    of the original vectors.
     """
     spark = df.sparkSession
     ship(spark)
-    vector = F.col(vector_col).cast("array<double>")
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("v_id"), vector.alias("v")).where(usable(F.col("v")))
-    rows = rows.groupBy("v_id").agg(F.max("v").alias("v"))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
+    single = dict(df.dtypes)[vector_col] == "array<float>"
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("v_id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v")))
+    dims = rows.agg(F.max(F.size("v"))).first()[0]
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
+    if dims is None:
         return spark.createDataFrame([], schema)
-    rows = durable(rows.where(F.size("v") == sizes[0]["n"]))
-    sample = rows.orderBy(F.xxhash64("v_id"), "v_id").limit(sample_rows).toPandas()
-    shared = spark.sparkContext.broadcast(fit_codebooks(np.stack(sample.v.to_numpy()), books, words))
+    filled = F.when(F.size("v") < dims, F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("v")))).otherwise(F.col("v"))
+    rows = rows.select("v_id", filled.alias("v")).select("v_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    # of equal vectors k + 1 rows can matter at most; they are cut before and after the exchange
+    first_rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("v_id"))).where(F.col("r") <= k + 1)
+    groups = durable(first_rows.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("v_id")).alias("v_ids")))
+    asked = durable(rows.where(F.pmod("v_id", F.lit(query_every)) == 0).select("v_id", "h1", "h2"))
+    queries = durable(groups.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "v"))
+    n_queries = queries.count()
+    if not n_queries:
+        return spark.createDataFrame([], schema)
+
+    sample = groups.orderBy("h1", "h2").select("v").limit(sample_rows).toPandas()
+    sample = np.stack(sample.v.to_numpy()).astype(np.float32)
+    fitted = fit_codebooks(sample, books, words)
+    shared = spark.sparkContext.broadcast((fitted, allowance(fitted, sample, k)))
+    blocks = -(-n_queries // QUERY_BLOCK)
+    slices = min(SLICES, max(1, 2 * spark.sparkContext.defaultParallelism // blocks))
+    kind = "<f4" if single else "<f8"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("v_id").to_numpy()
-            if not len(ids):
+            n = b.num_rows
+            if not n:
                 continue
-            x = b.column("v").flatten().to_numpy().reshape(len(ids), -1).astype(np.float32)
-            codes = shared.value.encode(x)
-            norm = np.linalg.norm(x, axis=1)
-            near = np.linalg.norm(shared.value.decode(codes), axis=1)
-            ratio = (norm / np.where(near > 0, near, 1)).astype(np.float32)
-            for at in range(0, len(ids), CODE_BLOCK):
+            x = b.column("v").flatten().to_numpy().reshape(n, -1)
+            codes, ratio, left = encoded(shared.value[0], x)
+            heads = np.stack([b.column(c).to_numpy() for c in ("h1", "h2", "m")], axis=1).astype("<i8")
+            for at in range(0, n, CODE_BLOCK):
                 cut = slice(at, at + CODE_BLOCK)
-                cells = [[ids[cut].astype("<i8").tobytes()], [codes[cut].tobytes()], [ratio[cut].tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cells], names=["c_ids", "c_codes", "c_ratio"])
-
-    index = durable(rows.mapInArrow(pack, "c_ids binary, c_codes binary, c_ratio binary"))
-    queries = rows.where(F.pmod("v_id", F.lit(query_every)) == 0)
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = queries.select(F.pmod(F.xxhash64("v_id"), F.lit(n_blocks)).alias("q_block"), F.col("v_id").alias("q_id"), F.col("v").alias("q_v"))
-    none = F.lit(None)
-    stream = asked.select(
-        "q_block", F.lit(0).alias("kind"), "q_id", "q_v", none.cast("binary").alias("c_ids"), none.cast("binary").alias("c_codes"), none.cast("binary").alias("c_ratio")
-    ).unionByName(
-        index.select(
-            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("q_block"), F.lit(1).alias("kind"),
-            none.cast("long").alias("q_id"), none.cast("array<double>").alias("q_v"), "c_ids", "c_codes", "c_ratio",
-        )
+                cells = [heads[cut], codes[cut], np.stack([ratio[cut], left[cut]], axis=1).astype("<f4"), x[cut].astype(kind)]
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=["c_heads", "c_codes", "c_norms", "c_x"])
+
+    parts = "c_heads binary, c_codes binary, c_norms binary, c_x binary"
+    index = durable(groups.select("h1", "h2", F.col("v_ids")[0].alias("m"), "v").mapInArrow(pack, parts))
+    none = [F.lit(None).cast("binary").alias(c) for c in ("c_heads", "c_codes", "c_norms", "c_x")]
+    of_query = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.pmod(F.col("h1"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "h1", "h2", "v", *none
+    )
+    of_codes = index.select(
+        F.pmod(F.xxhash64("c_heads"), F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"),
+        F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.lit(None).cast("array<double>").alias("v"), "c_heads", "c_codes", "c_norms", "c_x",
     )
-    dealt = stream.repartition(n_blocks, "q_block").sortWithinPartitions("q_block", "kind")
+    dealt = of_query.unionByName(of_codes).repartition(blocks * slices, "block", "slice").sortWithinPartitions("block", "slice", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, tables = None, [], None
-        scores = ids = None
+        now, heads, vectors, block, held, n_held = None, [], [], None, [], 0
+
+        def take() -> None:
+            nonlocal block, held, n_held
+            if held and heads:
+                if block is None:
+                    block = Block(shared.value[0], np.array(vectors), k + 1, shared.value[1])
+                head, codes, norms, x = (b"".join(c) for c in zip(*held))
+                head = np.frombuffer(head, dtype="<i8").reshape(-1, 3)
+                norms = np.frombuffer(norms, dtype="<f4").reshape(-1, 2)
+                block.add(head[:, :2], head[:, 2], np.frombuffer(codes, dtype=np.uint8).reshape(len(head), -1), norms[:, 0], norms[:, 1], np.frombuffer(x, dtype=kind).reshape(len(head), -1))
+            held, n_held = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            if scores is not None:
-                q = np.array([i for i, _ in held], dtype=np.int64)
-                ok = np.isfinite(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, ids.shape[1])[ok.ravel()]), pa.array(ids.ravel()[ok.ravel()])], names=["query_id", "cand_id"])
+            take()
+            if block is not None:
+                own = np.repeat(np.array(heads, dtype=np.int64), k + 1, axis=0)
+                ok = np.isfinite(block.scores.ravel())
+                cells = [own[:, 0], own[:, 1], block.scores.ravel(), block.ids.ravel(), block.keys[:, :, 0].ravel(), block.keys[:, :, 1].ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in cells], names=["h1", "h2", "score", "m", "c1", "c2"])
 
         for b in batches:
-            columns = [b.column(n) for n in ("q_block", "kind", "q_id", "q_v", "c_ids", "c_codes", "c_ratio")]
-            for r in range(b.num_rows):
-                block_id, kind = columns[0][r].as_py(), columns[1][r].as_py()
-                if block_id != now:
+            columns = {n: b.column(n) for n in b.schema.names}
+            cells = list(zip(columns["block"].to_pylist(), columns["slice"].to_pylist(), columns["kind"].to_pylist()))
+            for r, (at, piece, kind_of) in enumerate(cells):
+                if (at, piece) != now:
                     yield from out()
-                    now, held, tables, scores, ids = block_id, [], None, None, None
-                if kind == 0:
-                    held.append((columns[2][r].as_py(), np.array(columns[3][r].as_py())))
-                    continue
-                if not held:
-                    continue
-                if tables is None:
-                    q = np.stack([v for _, v in held]).astype(np.float32)
-                    tables = np.einsum("qd,mwd->mqw", q, shared.value.words, optimize=True)
-                    own = np.array([i for i, _ in held], dtype=np.int64)[:, None]
-                    scores = np.empty((len(held), 0), dtype=np.float32)
-                    ids = np.empty((len(held), 0), dtype=np.int64)
-                c_ids = np.frombuffer(columns[4][r].as_buffer(), dtype="<i8")
-                codes = np.frombuffer(columns[5][r].as_buffer(), dtype=np.uint8).reshape(len(c_ids), -1)
-                ratio = np.frombuffer(columns[6][r].as_buffer(), dtype=np.float32)
-                part = np.take(tables[0], codes[:, 0], axis=1)
-                for m in range(1, codes.shape[1]):
-                    part += np.take(tables[m], codes[:, m], axis=1)
-                part *= ratio
-                both = np.broadcast_to(c_ids, part.shape)
-                part = np.where(both == own, np.float32(-np.inf), part)
-                top, top_ids = best_of(part, both, rerank)
-                scores, ids = best_of(np.concatenate([scores, top], axis=1), np.concatenate([ids, top_ids], axis=1), rerank)
+                    now, heads, vectors, block = (at, piece), [], [], None
+                if kind_of == 0:
+                    heads.append((columns["h1"][r].as_py(), columns["h2"][r].as_py()))
+                    vectors.append(columns["v"][r].values.to_numpy())
+                elif heads:
+                    held.append(tuple(columns[c][r].as_py() for c in ("c_heads", "c_codes", "c_norms", "c_x")))
+                    n_held += CODE_BLOCK
+                    if n_held >= TOGETHER[1]:
+                        take()
         yield from out()
 
-    found = dealt.mapInArrow(scan, "query_id long, cand_id long")
-
-    @pandas_udf("double")
-    def exact(a, b):
-        import pandas as pd
-
-        if not len(a):
-            return pd.Series([], dtype="float64")
-        return pd.Series((np.stack(a.to_numpy()) * np.stack(b.to_numpy())).sum(axis=1))
-
-    q_side = queries.select(F.col("v_id").alias("qq"), F.col("v").alias("q_v"))
-    c_side = rows.select(F.col("v_id").alias("cc"), F.col("v").alias("c_v"))
-    scored = found.join(c_side, F.col("cand_id") == F.col("cc")).join(q_side, F.col("query_id") == F.col("qq")).select("query_id", F.col("cand_id").alias("vec_id"), exact("q_v", "c_v").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # rerank rows a query
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = durable(dealt.mapInArrow(scan, "h1 long, h2 long, score double, m long, c1 long, c2 long"))
+    if slices > 1:  # the best of the slices' lists, slices x (k + 1) entries a query at most
+        lists = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "m", "c1", "c2"))).alias("a"))
+        found = lists.select("h1", "h2", F.explode(F.slice("a", 1, k + 1)).alias("e")).select("h1", "h2", (-F.col("e.minus")).alias("score"), "e.c1", "e.c2")
+    members = groups.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "v_ids")
+    each = found.join(members, ["c1", "c2"]).select("h1", "h2", F.explode("v_ids").alias("id"), "score", "c1", "c2")  # (k + 1)^2 rows a query at most
+    lists = each.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id", "c1", "c2"))).alias("a"))
+    lists = durable(lists.select("h1", "h2", F.slice("a", 1, k + 1).alias("a")))
+    own = F.array_position(F.transform("a", lambda x: F.struct(x["id"].alias("id"), x["c1"].alias("c1"), x["c2"].alias("c2"))), F.struct(F.col("v_id").alias("id"), F.col("h1").alias("c1"), F.col("h2").alias("c2")))
+    best = asked.join(lists, ["h1", "h2"]).select("v_id", F.slice(F.filter("a", lambda x, i: i + 1 != own), 1, k).alias("a"))
+    ranked = best.select(F.col("v_id").alias("query_id"), F.posexplode("a").alias("rank", "e"))
+    return ranked.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("e.id").alias("vec_id"), (-F.col("e.minus")).alias("score"))
