@@ -3,8 +3,9 @@
 write_stream() puts a payload into the ancillary bytes of silent mono frames at 48 kHz. A frame holds one, two or three
 units of 192 bytes at 80, 160 or 224 kbit/s, so a stream is of variable bitrate. Ahead of them stand an ID3v2.3 tag with
 its CRC-32 and a Xing table of frame count, byte count and seek points. read_stream() knows nothing of the writer: it
-parses tags, resynchronises on frame headers (a header counts if the next one follows where it says), checks the CRC-16
-of protected frames, and gives exact durations (samples over the rate) and every frame's offset.
+parses tags (ID3v1, ID3v2.2 to 2.4 in all their encodings) and variable-bitrate tables (Xing, Info, VBRI), resynchronises
+on frame headers (a header counts if the next one follows where it says), checks the CRC-16 of protected frames of all
+three layers, and gives exact durations (samples over the rate) and every frame's offset. No bytes make it fail.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tessera.session import ship
+from tessera.session import ship, written
 
 UNIT = 192
 # Fixed values of ISO/IEC 11172-3 and 13818-3: bitrates in kbit/s by (version, layer), sample rates in Hz by version.
@@ -38,6 +39,15 @@ VERSIONS = {3: 1, 2: 2, 0: 25}
 #: kbit/s of the frame that holds so many units, and its length at 48 kHz.
 UNITS_KBIT = {1: 80, 2: 160, 3: 224}
 SIDE_INFO = {(1, False): 32, (1, True): 17, (2, False): 17, (2, True): 9}
+# Fixed values of the standards for Layer II: runs of (sub-bands, bits of an allocation) of the tables of allocation.
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low": ((4, 4), (7, 3), (19, 2)),
+}
+ENCODINGS = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}
 
 
 @dataclass
@@ -47,6 +57,7 @@ class Header:
     kbit: int
     rate: int
     mono: bool
+    bound: int  # sub-bands that stereo channels code apart
     protected: bool
     length: int
     samples: int
@@ -54,7 +65,10 @@ class Header:
 
 @dataclass
 class Stream:
-    """What read_stream() found. offsets[i] is where frame i starts; data frames exclude the one with the table."""
+    """What read_stream() found. offsets[i] is where frame i starts; data frames exclude the one with the table.
+
+    seek is the table of a variable-bitrate header as it stands: 100 bytes of Xing, or byte counts of VBRI.
+    """
 
     payload: bytes = b""
     tags: dict[str, str] = field(default_factory=dict)
@@ -85,6 +99,45 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, bits: int, crc: int = 0xFFFF) -> int:
+    """crc16() over the first bits of data."""
+    for i in range(bits):
+        top = crc >> 15 ^ (data[i >> 3] >> (7 - (i & 7)) & 1)
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return crc
+
+
+def protected_bits(head: Header, body: bytes) -> int | None:
+    """How many bits of the audio data (behind the CRC) the CRC covers besides the header; None if body is too short."""
+    channels = 1 if head.mono else 2
+    if head.layer == 3:
+        return 8 * SIDE_INFO[min(head.version, 2), head.mono]
+    if head.layer == 1:
+        return 4 * (32 if head.mono else head.bound + 32)
+    each = head.kbit // channels
+    table = "low" if head.version != 1 else ("d" if head.rate == 32000 else "c") if each <= 48 else "a" if each <= 80 or head.rate == 48000 else "b"
+    widths = [w for n, w in ALLOCATIONS[table] for _ in range(n)]
+    at = used = 0
+    value = int.from_bytes(body[:64], "big")
+    size = 8 * len(body[:64])
+    for band, width in enumerate(widths):
+        for channel in range(channels if band < head.bound else 1):
+            at += width
+            if at > size:
+                return None
+            if value >> (size - at) & ((1 << width) - 1):
+                used += channels if band >= head.bound else 1
+    return at + 2 * used
+
+
+def crc_fits(head: Header, frame: bytes) -> bool:
+    """Of a protected frame: 4 bytes of header, 2 of CRC, audio data."""
+    bits = protected_bits(head, frame[6:])
+    if bits is None or 48 + bits > 8 * len(frame):
+        return False
+    return crc16_bits(frame[6:], bits, crc16(frame[2:4])) == frame[4] << 8 | frame[5]
+
+
 _headers: dict[bytes, Header | None] = {}
 
 
@@ -101,7 +154,8 @@ def parse_header(data: bytes) -> Header | None:
         kbit, rate, pad = BITRATES[min(version, 2), layer][row], RATES[version][col], data[2] >> 1 & 1
         samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
         length = (12000 * kbit // rate + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbit // rate + pad
-        out = Header(version, layer, kbit, rate, data[3] >> 6 == 3, not data[1] & 1, length, samples)
+        bound = 4 * (data[3] >> 4 & 3) + 4 if data[3] >> 6 == 1 else 32
+        out = Header(version, layer, kbit, rate, data[3] >> 6 == 3, bound, not data[1] & 1, length, samples)
     if len(_headers) < 4096:
         _headers[bytes(data)] = out
     return out
@@ -147,34 +201,104 @@ def write_stream(payload: bytes) -> bytes:
     return tag + table + body.tobytes() + tail
 
 
+def _synch(data: bytes) -> int:
+    return data[0] << 21 | data[1] << 14 | data[2] << 7 | data[3]
+
+
+def _text(value: bytes) -> str:
+    return value[1:].decode(ENCODINGS.get(value[0], "latin-1"), errors="replace").lstrip("\ufeff") if value else ""
+
+
+def _frame_value(value: bytes, version: int, flags: int) -> bytes | None:
+    """A tag frame's data without what its flags say was done to it; None if it is encrypted or broken."""
+    if version == 3 and flags & 0xC0:
+        value = value[4 + bool(flags & 0x20) :]
+        compressed, secret = flags & 0x80, flags & 0x40
+    elif version == 4:
+        compressed, secret = flags & 0x08, flags & 0x04
+        value = value[bool(flags & 0x40) + 4 * (flags & 1) :]
+        value = value.replace(b"\xff\x00", b"\xff") if flags & 0x02 else value
+    else:
+        return value[1:] if version == 3 and flags & 0x20 else value
+    if secret:
+        return None
+    try:
+        return zlib.decompressobj().decompress(value, 1 << 20) if compressed else value
+    except zlib.error:
+        return None
+
+
 def _read_tag(data: bytes, out: Stream) -> int:
-    """Parse an ID3v2.3 tag at the start, if there is one; where the audio starts."""
-    if data[:3] != b"ID3" or len(data) < 10:
+    """Parse an ID3v2 tag of version 2 to 4 at the start, if there is one; where the audio starts."""
+    if data[:3] != b"ID3" or len(data) < 10 or max(data[6:10]) > 127 or not 2 <= data[3] <= 4:
         return 0
-    size = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
+    version, flags, size = data[3], data[5], _synch(data[6:10])
     body, at = data[10 : 10 + size], 0
-    if data[5] & 0x40 and len(body) >= 10:
-        extended, flags, padding = struct.unpack(">IHI", body[:10])
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    if version == 3 and flags & 0x40 and len(body) >= 10:
+        extended, extended_flags, padding = struct.unpack(">IHI", body[:10])
         at = 4 + extended
-        if flags & 0x8000:
-            out.tag_crc_ok = zlib.crc32(body[at : len(body) - padding]) == struct.unpack(">I", body[10:14])[0]
-    while at + 10 <= len(body) and body[at : at + 4].strip(b"\0"):
-        name, n = body[at : at + 4].decode("latin-1"), struct.unpack(">I", body[at + 4 : at + 8])[0]
-        value = body[at + 10 : at + 10 + n]
-        if name[0] == "T":
-            text = value[1:].decode("latin-1" if value[:1] == b"\0" else "utf-16")
-            key, _, rest = text.partition("\0") if name == "TXXX" else (name, "", text)
-            out.tags[key] = rest
-        at += 10 + n
-    return 10 + size
+        if extended_flags & 0x8000 and len(body) >= 14:
+            out.tag_crc_ok = zlib.crc32(body[at : max(at, len(body) - padding)]) == struct.unpack(">I", body[10:14])[0]
+    elif version == 4 and flags & 0x40 and len(body) >= 6:
+        at = max(6, _synch(body[:4]))
+        if body[5] & 0x20:
+            where = 6 + bool(body[5] & 0x40)
+            crc = 0
+            for byte in body[where + 1 : where + 6]:
+                crc = crc << 7 | byte & 0x7F
+            out.tag_crc_ok = zlib.crc32(body[at:]) == crc & 0xFFFFFFFF
+    long = 4 if version > 2 else 3
+    width = 10 if version > 2 else 6
+    while at + width <= len(body) and body[at : at + long].isalnum():
+        name, number = body[at : at + long].decode("latin-1"), body[at + long : at + 2 * long]
+        n = _synch(number) if version == 4 else int.from_bytes(number, "big")
+        value = _frame_value(body[at + width : at + width + n], version, body[at + 9] if version > 2 else 0)
+        if name[0] == "T" and value is not None:
+            key, _, rest = _text(value).partition("\0") if name in ("TXXX", "TXX") else (name, "", _text(value))
+            out.tags.setdefault(key, rest.rstrip("\0"))
+        at += width + n
+    return 10 + size + (10 if version == 4 and flags & 0x10 else 0)
+
+
+def _read_last_tag(data: bytes, out: Stream) -> None:
+    """Parse an ID3v1 tag of 128 bytes; what ID3v2 says goes before."""
+    for key, lo, hi in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93), ("TYER", 93, 97), ("COMM", 97, 125 if data[125] == 0 and data[126] else 127)):
+        value = data[lo:hi].split(b"\0")[0].decode("latin-1").strip()
+        if value:
+            out.tags.setdefault(key, value)
+    if data[125] == 0 and data[126]:
+        out.tags.setdefault("TRCK", str(data[126]))
+
+
+def _read_table(data: bytes, at: int, head: Header, out: Stream) -> bool:
+    """Parse the variable-bitrate table in the frame at at, if it has one."""
+    frame = data[at : at + head.length]
+    main = 4 + 2 * head.protected + (SIDE_INFO[min(head.version, 2), head.mono] if head.layer == 3 else 0)
+    if frame[main : main + 4] in (b"Xing", b"Info") and len(frame) >= main + 8:
+        flags, field_at = struct.unpack(">I", frame[main + 4 : main + 8])[0], main + 8
+        for bit, name in ((1, "table_frames"), (2, "table_bytes")):
+            if flags & bit:
+                setattr(out, name, int.from_bytes(frame[field_at : field_at + 4], "big"))
+                field_at += 4
+        if flags & 4:
+            out.seek = frame[field_at : field_at + 100]
+        return True
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        out.table_bytes, out.table_frames, entries, scale, width = struct.unpack(">IIHHH", frame[46:60])
+        toc = frame[62 : 62 + entries * width]
+        out.seek = struct.pack(f">{len(toc) // width}Q", *(int.from_bytes(toc[i : i + width], "big") * scale for i in range(0, len(toc) - width + 1, width))) if 0 < width <= 4 else b""
+        return True
+    return False
 
 
 def read_stream(data: bytes) -> Stream:
     """Parse any MPEG audio stream; bytes that belong to no frame are skipped and counted, broken ones too."""
     out = Stream()
     at, parts = _read_tag(data, out), []
-    end = len(data) - (128 if data[-128:-125] == b"TAG" else 0)
-    locked = False
+    end = len(data) - (128 if data[-128:-125] == b"TAG" and len(data) - 128 >= at else 0)
+    locked = tabled = False
     while at + 4 <= end:
         head = parse_header(data[at : at + 4])
         after = at + head.length if head else 0
@@ -186,33 +310,27 @@ def read_stream(data: bytes) -> Stream:
             at, locked = (found if found >= 0 else end), False
             continue
         locked = True
-        side = SIDE_INFO[min(head.version, 2), head.mono] if head.layer == 3 else 0
-        start = at + 4 + 2 * head.protected
-        if head.protected and head.layer == 3:
+        if head.protected:
             out.crc_checked += 1
-            key = data[at + 2 : at + 6 + side]
+            key = data[at : at + 6 + (SIDE_INFO[min(head.version, 2), head.mono] if head.layer == 3 else 96)]
             if key not in _crcs:
                 if len(_crcs) > 4096:
                     _crcs.clear()
-                _crcs[key] = crc16(key[:2] + key[4:]) == struct.unpack(">H", key[2:4])[0]
+                _crcs[key] = crc_fits(head, data[at:after])
             out.crc_bad += not _crcs[key]
-        main = start + side
-        if not out.offsets and out.table_frames < 0 and data[main : main + 4] in (b"Xing", b"Info"):
-            flags, at_field = struct.unpack(">I", data[main + 4 : main + 8])[0], main + 8
-            for bit, name in ((1, "table_frames"), (2, "table_bytes")):
-                if flags & bit:
-                    setattr(out, name, struct.unpack(">I", data[at_field : at_field + 4])[0])
-                    at_field += 4
-            if flags & 4:
-                out.seek = data[at_field : at_field + 100]
+        if not out.offsets and not tabled and _read_table(data, at, head, out):
+            tabled = True
         else:
+            main = at + 4 + 2 * head.protected + (SIDE_INFO[min(head.version, 2), head.mono] if head.layer == 3 else 0)
             out.offsets.append(at)
             out.kbits.append(head.kbit)
             out.samples += head.samples
             out.rate = head.rate
-            units = (after - main) // UNIT
-            parts.append(data[main : main + units * UNIT])
+            parts.append(data[main : main + (after - main) // UNIT * UNIT])
         at = after
+    out.skipped += max(0, end - at)
+    if end < len(data):
+        _read_last_tag(data[end:], out)
     out.payload = b"".join(parts)
     return out
 
@@ -257,10 +375,16 @@ def decode_column(media: Column) -> Column:
 def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and the features of each row's text as stored in an MPEG column and read back.
 
-    Null and empty texts give one unit of spaces. Equal texts give equal values; repeated rows stay rows; an empty table
-    gives an empty result. The stream itself is encode_column(); only its features leave the executors here.
+    The streams are stored as a table in the shared folder, and all features but n_bytes are of the bytes read back from
+    there. Null and empty texts give one unit of spaces. Equal texts give equal values; repeated rows stay rows; an empty
+    table gives an empty result; other columns do not matter, whatever their names.
     """
+    stored = stored_media(df, id_col, text_col)
+    return stored.withColumn("media", decode_column(F.col("media"))).select(F.col("media_id").alias(id_col), "n_bytes", "media.*")
+
+
+def stored_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """media_id, n_bytes and media: the table of streams in the shared folder, read back from it."""
     ship(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    stored = df.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), encode_column(text).alias("media"))
-    return stored.withColumn("media", decode_column(F.col("media"))).select(F.col(id_col), "n_bytes", "media.*")
+    return written(df.select(F.col(id_col).alias("media_id"), F.octet_length(text).cast("long").alias("n_bytes"), encode_column(text).alias("media")), "media")
