@@ -52,14 +52,23 @@ def durable(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read back from there: later reads take only the columns they use.
 
-    The driver's JVM removes the table when it ends.
+    The driver's JVM removes the table when it ends; discard() does so before.
     """
     spark = df.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.tessera_folder = folder
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table of written() that nothing will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.tessera_folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows that Spark hands to Python at once where the session leaves that at Spark's default: texts can be long.
