@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
+from tessera.llm.memo import claim
 from tessera.llm.simhash import components, fingerprint_of, near_links, one_of_each
-from tessera.session import durable, ship, written
+from tessera.session import discard, durable, ship, written
 
 WIDTH = 5
 #: Minimum hashes a text is linked by first.
@@ -31,7 +32,7 @@ MINIMA = 8
 #: Texts that common shingles are counted on, by hash of the text, and shingles that stand last at most.
 SAMPLE_TEXTS, COMMON = 4000, 1 << 17
 #: Words whose hashes a worker remembers, and hashes in a batch of sets that it hands on.
-MEMO_WORDS, BATCH = 200_000, 1 << 20
+MEMO_WORDS, BATCH = 200_000, 1 << 18
 ODD = np.random.default_rng(7).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -102,8 +103,10 @@ def sketches(texts: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["node", "n", "fp", "least", "shingles"])
 
+        claim("nearcopies", _words.clear)
+        seen = set()  # copies within a task's part of the table leave one row
         for b in batches:
-            rows, held, seen = [], 0, set()
+            rows, held = [], 0
             for t in b.column("text"):
                 words = words_of(t.as_py())
                 if not words or (node := node_of(words)) in seen:
@@ -211,7 +214,7 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["key", "node", "n", "pos"])
 
-    posts = durable(sets.select("node", "shingles").mapInArrow(prefixes, "key long, node long, n int, pos int"))
+    posts = sets.select("node", "shingles").mapInArrow(prefixes, "key long, node long, n int, pos int")  # made twice rather than kept
     spans = lambda p, c: p.groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo != hi").select("key")
     shared = durable(posts.join(spans(posts, "node"), "key").distinct().join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
     shared = durable(shared.join(spans(shared, "part"), "key"))
@@ -219,7 +222,9 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
     room = F.lit(1) + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) - 1
     fits = (F.col("node") < F.col("o_node")) & (F.col("part") != F.col("o_part")) & (5 * F.least("n", "o_n") >= 4 * F.greatest("n", "o_n")) & (9 * room >= 4 * (F.col("n") + F.col("o_n")))
     pairs = durable(shared.join(other, "key").where(fits).select(F.col("node").alias("u"), F.col("o_node").alias("v")).distinct())
-    return components(links.unionByName(checked(pairs, sets)))
+    links = links.unionByName(checked(pairs, sets))
+    discard(sets)
+    return components(links)
 
 
 def near_copy_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
