@@ -1,10 +1,11 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams and itself, hashed into a table of embeddings, so a misspelt or newly derived
-word shares vectors with the words it comes from. Word vectors are averaged over a window of the text, and a softmax
-over the average gives the window's score; a text scores as its worst window, so that one insult in a long text counts
-as much as in a short one. In training the embeddings and the softmax get their gradients from the worst window of each
-text. The logit of an average is the average of the words' logits: for scoring, the model is one number a bucket.
+word shares vectors with the words it comes from: a word's vector is the mean of its bag's. A text is the average of the
+vectors of all its distinct words, and a linear softmax over that average gives its score. The average is weighted: each
+bag entry has one more trained number, and the mean of a word's, raised to e, is the word's weight. So one insult in a
+long text can outweigh its thousand plain words. Embeddings, weights and softmax get their gradients from the same loss.
+As the softmax is linear, the model is for scoring two numbers a bucket: its logit and its weight's logarithm.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.llm.memo import claim
-from tessera.session import ship
+from tessera.session import durable, ship
 
 #: Rows of each class that training uses at most, taken by hash of the id: the documented bound of the sample.
 SAMPLE_ROWS = 3000
 #: Characters of text that the driver holds for training at most; rows beyond it are left out in hash order.
 SAMPLE_CHARS = 16_000_000
-BUCKETS, DIM, NGRAMS, WINDOW, FIRST_WINDOW = 1 << 16, 8, (3, 4, 5), 24, 960
+BUCKETS, DIM, NGRAMS = 1 << 16, 8, (3, 4, 5)
+#: A word's weight is e to GATE times its bag's mean, between these powers. Words that a training step takes of a text:
+#: those that weigh most just now and others at random, which stand for all the rest.
+GATE, LEAST, MOST, TOP_WORDS, OTHER_WORDS = 4.0, -6.0, 12.0, 24, 40
 #: Distinct words whose scores a worker remembers.
 MEMO_WORDS = 250_000
 
@@ -33,8 +37,7 @@ MEMO_WORDS = 250_000
 def words_of(text: str | None) -> list[str]:
     """Distinct lower-case words without the punctuation around them, in order of first occurrence.
 
-    A word that is repeated a thousand times says no more than once; else the noise in one unseen word's vectors could
-    fill a window.
+    A word that is repeated a thousand times says no more than once.
     """
     return list(dict.fromkeys((x.strip(".,;:!?\"'()[]{}<>|*#&%$") or x) for x in (text or "").lower().split()))
 
@@ -75,116 +78,114 @@ def subwords(words: list[str], buckets: int = BUCKETS, ngrams: tuple[int, ...] =
     return flat.astype(np.int64), np.cumsum(counts) - counts
 
 
+def means(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of the rows of x in each run that starts at start."""
+    return np.add.reduceat(x, start, axis=0) / size[:, None] if len(start) else np.zeros((0, x.shape[1]))
+
+
 @dataclass
 class Model:
-    """One logit a bucket (embedding times the difference of the softmax's columns) and the bias."""
+    """Logit and weight's logarithm of each bucket, and the bias."""
 
-    logits: np.ndarray
+    buckets: np.ndarray
     bias: float
-    window: int = WINDOW
 
-    def word_logits(self, words: list[str]) -> np.ndarray:
-        ids, start = subwords(words, len(self.logits))
-        return np.add.reduceat(self.logits[ids], start) / np.diff(np.append(start, len(ids))) if words else np.zeros(0)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Logit and weight of each word."""
+        ids, start = subwords(words, len(self.buckets))
+        out = means(self.buckets[ids].astype(np.float64), start, np.diff(np.append(start, len(ids))))
+        out[:, 1] = np.exp(np.clip(out[:, 1], LEAST, MOST))
+        return out
 
-    def score(self, logits: np.ndarray) -> float:
-        """Of a text's words, in order."""
-        z = self.bias + worst_window(logits, self.window)[0]
+    def score(self, words: np.ndarray) -> float:
+        """Of a text's words."""
+        z = self.bias + (float(words[:, 0] @ words[:, 1] / words[:, 1].sum()) if len(words) else 0.0)
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))))
 
 
-def worst_window(logits: np.ndarray, window: int) -> tuple[float, int, int]:
-    """Largest average over window consecutive words, and its range. Fewer words are filled up by zero vectors."""
-    n = len(logits)
-    if n <= window:
-        return float(logits.sum()) / window, 0, n
-    total = np.concatenate([[0.0], np.cumsum(logits)])
-    sums = total[window:] - total[:-window]
-    at = int(sums.argmax())
-    return float(sums[at]) / window, at, at + window
-
+def train(texts: list[str], labels: np.ndarray, epochs: int = 8, steps: int = 600, averaged: int = 4, rate: float = 0.5, seed: int = 0, batch: int = 32) -> Model:
+    """Fit embeddings, weights and softmax jointly by Adagrad on the log loss of whole texts.
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 6, steps: int = 1000, first: float = 0.4, rate: float = 1.0, seed: int = 0, batch: int = 48) -> Model:
-    """Fit embeddings and softmax jointly by Adagrad on the log loss of each text's worst window.
-
-    The first epochs take a long random window of each text, as no word has a meaning yet; from then on each text counts
-    by its currently worst window, and clean texts by another random one too. There are epochs passes at least, and
-    steps batches at least.
+    A step takes the average of a text from its TOP_WORDS words of largest weight or logit so far and OTHER_WORDS random
+    ones, which count for all others. There are epochs passes at least, and steps batches at least; the model is the mean
+    of those after the last passes.
     """
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), dtype=np.int32) for t in texts]
-    words = list(vocabulary)
-    ids, start = subwords(words)
+    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), dtype=np.int64) for t in texts]
+    ids, start = subwords(list(vocabulary))
     ids = ids.astype(np.int32)
     size = np.diff(np.append(start, len(ids)))
-    emb = rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM
-    out = np.zeros((DIM, 2))
-    bias = np.zeros(2)
-    g_emb, g_out, g_bias = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
+    emb = rng.uniform(-1, 1, (BUCKETS, DIM + 1)) / DIM  # the last column makes the weight
+    emb[:, DIM] = 0
+    out, bias = rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
+    g_emb, g_gate, g_out, g_bias = np.full(BUCKETS, 1e-6), np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     labels = np.asarray(labels, dtype=np.int64)
     weight = (len(labels) / (2.0 * np.maximum(1, np.where(labels == 1, labels.sum(), (1 - labels).sum())))) ** 0.75
 
-    def bag(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bucket ids of the words of parts, the share that each has in its part, and the parts."""
-        w = np.concatenate(parts)
-        part = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        n = size[w]
-        first = np.repeat(start[w] - (np.cumsum(n) - n), n)
-        b = ids[first + np.arange(len(first))]
-        share = np.repeat(1.0 / (n * np.array([max(len(p), WINDOW) for p in parts])[part]), n)
-        return b, share, np.repeat(part, n)
-
-    def step(parts: list[np.ndarray], y: np.ndarray, importance: np.ndarray) -> None:
-        nonlocal emb, out, bias
-        b, share, part = bag(parts)
-        x = np.zeros((len(parts), DIM))
-        for k in range(DIM):
-            x[:, k] = np.bincount(part, emb[b, k] * share, minlength=len(parts))
+    def projected() -> np.ndarray:
+        return np.stack([emb[:, :DIM] @ (out[:, 1] - out[:, 0]), emb[:, DIM] * GATE], axis=1)
+
+    def pick(words: np.ndarray, salience: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Words of a text for a step, and how many words each stands for."""
+        n = len(words)
+        if n <= TOP_WORDS + OTHER_WORDS:
+            return words, np.ones(n)
+        if salience is None:
+            return rng.choice(words, TOP_WORDS + OTHER_WORDS, replace=False), np.full(TOP_WORDS + OTHER_WORDS, n / (TOP_WORDS + OTHER_WORDS))
+        order = np.argpartition(-salience[words], TOP_WORDS)
+        taken = np.concatenate([words[order[:TOP_WORDS]], rng.choice(words[order[TOP_WORDS:]], OTHER_WORDS, replace=False)])
+        return taken, np.repeat([1.0, (n - TOP_WORDS) / OTHER_WORDS], [TOP_WORDS, OTHER_WORDS])
+
+    def step(parts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, importance: np.ndarray) -> None:
+        nonlocal out, bias
+        n = len(parts)
+        word, stands = (np.concatenate(c) for c in zip(*parts))
+        part = np.repeat(np.arange(n), [len(w) for w, _ in parts])
+        of = size[word]
+        first = np.cumsum(of) - of
+        b = ids[np.repeat(start[word] - first, of) + np.arange(int(of.sum()))]
+        v = means(emb[b], first, of)
+        a = stands * np.exp(np.clip(v[:, DIM] * GATE, LEAST, MOST))
+        share = a / np.bincount(part, a, minlength=n)[part]
+        x = np.stack([np.bincount(part, share * v[:, k], minlength=n) for k in range(DIM)], axis=1)
         z = x @ out + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
+        p[np.arange(n), y] -= 1
         p *= importance[:, None]
-        dx = p @ out.T
-        d_out, d_bias = x.T @ p, p.sum(axis=0)
+        dx = (p @ out.T)[part]
+        dv = np.concatenate([share[:, None] * dx, (GATE * share * ((v[:, :DIM] - x[part]) * dx).sum(axis=1))[:, None]], axis=1) / of[:, None]
         touched, inverse = np.unique(b, return_inverse=True)
-        grad = np.stack([np.bincount(inverse, dx[part, k] * share, minlength=len(touched)) for k in range(DIM)], axis=1)
-        g_emb[touched] += (grad**2).mean(axis=1)
-        emb[touched] -= rate * grad / np.sqrt(g_emb[touched])[:, None]
+        each = np.repeat(np.arange(len(word)), of)
+        grad = np.stack([np.bincount(inverse, dv[each, k], minlength=len(touched)) for k in range(DIM + 1)], axis=1)
+        g_emb[touched] += (grad[:, :DIM] ** 2).mean(axis=1)
+        g_gate[touched] += grad[:, DIM] ** 2
+        emb[touched, :DIM] -= rate * grad[:, :DIM] / np.sqrt(g_emb[touched])[:, None]
+        emb[touched, DIM] -= 0.3 * rate * grad[:, DIM] / np.sqrt(g_gate[touched])
+        d_out, d_bias = x.T @ p, p.sum(axis=0)
         np.add(g_out, d_out**2, out=g_out)
         np.add(g_bias, d_bias**2, out=g_bias)
-        out -= rate * d_out / np.sqrt(g_out)
-        bias -= rate * d_bias / np.sqrt(g_bias)
+        out = out - 0.3 * rate * d_out / np.sqrt(g_out)
+        bias = bias - 0.3 * rate * d_bias / np.sqrt(g_bias)
 
-    out += rng.normal(0, 0.1, out.shape)
     filled = [i for i, d in enumerate(docs) if len(d)]
     epochs = max(epochs, -(-steps * batch // max(1, len(filled))))
+    found, shift = np.zeros((BUCKETS, 2)), 0.0
     for epoch in range(epochs):
-        per_word = None
-        if epoch >= first * epochs:
-            per_bucket = emb @ (out[:, 1] - out[:, 0])
-            per_word = np.concatenate([np.add.reduceat(per_bucket[ids[start[i] : (start[i + 5000] if i + 5000 < len(start) else len(ids))]], start[i : i + 5000] - start[i]) for i in range(0, len(start), 5000)]) / size if len(start) else np.zeros(0)
+        salience = None
+        if epoch:
+            table = projected()
+            per_word = np.concatenate([means(table[ids[start[i] : start[i] + int(size[i : i + 5000].sum())]], start[i : i + 5000] - start[i], size[i : i + 5000]) for i in range(0, len(start), 5000)])
+            salience = per_word[:, 1] + np.maximum(per_word[:, 0], 0)
         order = rng.permutation(filled)
         for at in range(0, len(order), batch):
-            parts, ys, ws = [], [], []
-            for i in order[at : at + batch]:
-                d = docs[i]
-                if per_word is None:
-                    lo = int(rng.integers(0, max(1, len(d) - FIRST_WINDOW)))
-                    parts.append(d[lo : lo + FIRST_WINDOW])
-                else:
-                    _, lo, hi = worst_window(per_word[d], WINDOW)
-                    parts.append(d[lo:hi])
-                ys.append(labels[i])
-                ws.append(weight[i])
-                if labels[i] == 0 and len(d) > WINDOW:  # a clean text is clean everywhere
-                    lo = int(rng.integers(0, len(d) - WINDOW))
-                    parts.append(d[lo : lo + WINDOW])
-                    ys.append(0)
-                    ws.append(weight[i])
-            step(parts, np.array(ys), np.array(ws))
-    return Model((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+            rows = order[at : at + batch]
+            step([pick(docs[i], salience) for i in rows], labels[rows], weight[rows])
+        if epoch >= epochs - averaged:
+            found += projected() / averaged
+            shift += float(bias[1] - bias[0]) / averaged
+    return Model(found.astype(np.float32), shift)
 
 
 def held_out(ident: Column, folds: int = 5) -> Column:
@@ -208,6 +209,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         .join(F.broadcast(picked), F.col("doc_key") == F.col("tox_id"))  # 2 x SAMPLE_ROWS rows at most
         .select("doc_key", "doc_text", "tox_label")
     )
+    rows = durable(rows)  # the table is read once for the fit
     texts, ys, held = [], [], 0
     sizes = rows.select("doc_key", F.length("doc_text").alias("n")).toPandas()
     sizes = sizes.assign(h=sizes.doc_key.astype("int64") * 2654435761 % (1 << 32)).sort_values(["h", "doc_key", "n"])
@@ -220,15 +222,15 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ys = np.array([y for _, _, y in texts], dtype=np.int64)
     if not len(ys) or ys.min() == ys.max():
         share = min(max(float(ys.mean()) if len(ys) else 0.0, 0.01), 0.99)
-        return Model(np.zeros(BUCKETS, dtype=np.float32), float(np.log(share / (1 - share))))
+        return Model(np.zeros((BUCKETS, 2), dtype=np.float32), float(np.log(share / (1 - share))))
     return train([t for _, t, _ in texts], ys)
 
 
-_memo: dict[str, dict[str, float]] = {}
+_memo: dict[str, dict[str, tuple[float, float]]] = {}
 
 
 def score_texts(model: Model, token: str, texts: list[str | None]) -> np.ndarray:
-    """Scores of whole texts. Words' logits are remembered in the worker, MEMO_WORDS of them at most, under token."""
+    """Scores of whole texts. Words' logits and weights are remembered in the worker, MEMO_WORDS of them at most, under token."""
     claim("toxicity", _memo.clear)
     if token not in _memo:
         _memo.clear()
@@ -242,16 +244,16 @@ def score_texts(model: Model, token: str, texts: list[str | None]) -> np.ndarray
             fresh = list({w for ws in split for w in ws})
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
-            memo.update(zip(part, model.word_logits(part).tolist()))
+            memo.update(zip(part, map(tuple, model.words(part).tolist())))
         for i, ws in enumerate(split):
-            out[at + i] = model.score(np.fromiter(map(memo.__getitem__, ws), dtype=np.float64, count=len(ws)))
+            out[at + i] = model.score(np.array([memo[w] for w in ws], dtype=np.float64).reshape(-1, 2))
     return out
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
-    """Score from 0 to 1 of each whole text; null and empty texts score as a window of no words, the bias alone."""
+    """Score from 0 to 1 of each whole text; null and empty texts and those without words score by the bias alone."""
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x 4 bytes
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS x 8 bytes
     token = uuid.uuid4().hex
 
     @pandas_udf("double")
@@ -264,7 +266,9 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
 def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id, held_out, score and predicted of every row of documents; labels, lang, source and id enter no score.
 
-    Repeated rows get equal scores; an empty table gives an empty result; other columns do not matter.
+    A text scores as a whole, whatever its length; null texts and texts without words score by the model's bias alone.
+    Repeated rows get equal scores; a null id is not held out; an empty table gives an empty result; other columns do not
+    matter, whatever their names.
     """
     spark = documents.sparkSession
     model = fit(documents, labels, id_col, text_col, label_col)
@@ -273,6 +277,6 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def remove_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """documents without the rows that toxicity() predicts as label 1; all columns stay as they are."""
+    """documents without the rows that toxicity() predicts as label 1; all columns stay as they are, repeated rows too."""
     model = fit(documents, labels, id_col, text_col, label_col)
     return documents.where(score_column(documents.sparkSession, model, F.col(text_col)) < 0.5)
