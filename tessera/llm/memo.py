@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _owner: list[str] = []
 _forget: dict[str, Callable[[], None]] = {}
 
@@ -16,5 +20,11 @@ def claim(name: str, forget: Callable[[], None]) -> None:
         if other != name:
             drop()
             del _forget[other]
+    if _owner:  # what the other one has freed goes back to the system
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
     _owner[:] = [name]
     _forget[name] = forget
