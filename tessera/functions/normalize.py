@@ -18,14 +18,14 @@ SINGLE_LETTER_COST, LONGEST_WORD, MOST_PARTS = 12.0, 20, 4
 
 
 def normalize(text: str | None) -> str:
-    """NFKC, case folding, Latin diacritics folded, '&' as 'and', punctuation and symbols as spaces, spaces collapsed."""
+    """NFKC, case folding, Latin diacritics folded, '&' between or beside words as 'and', punctuation and symbols as spaces, spaces collapsed."""
     s = unicodedata.normalize("NFKC", text or "").casefold()
     s = s.translate({ord(c): None for c in NO_WIDTH})
     if not s.isascii():
         s = "".join(LIGATURES.get(c, c) for c in s)
         s = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s) if not 0x300 <= ord(c) <= 0x36F))
-    words = ("and" if w == "&" else w for w in s.split())
-    s = " ".join(words)
+    words = s.split()
+    s = " ".join("and" if w == "&" and len(words) > 1 else w for w in words)  # a text of "&" alone has no words
     return " ".join("".join(" " if unicodedata.category(c)[0] in "PS" else c for c in s).split())
 
 

@@ -1,7 +1,7 @@
 """Candidate generation: similarity joins over weighted token postings, exact keys, pruning.
 
-A posting is (country, source, token, entity). All joins are equi-joins on hash-partitioned keys; tokens above max_df
-are removed before the join, so no key emits more than max_df rows a query record.
+A posting is (country, source, token, entity); tokens above max_df are left out. Records are scored in blocks (topk.py),
+which give the best lists of both sides without a row for each shared token or pair.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.operators.records import RECS
+from tessera.operators.topk import best_pairs
 from tessera.session import durable
 
 
@@ -48,37 +49,62 @@ IDF = """idf AS (
   WHERE df <= 50000)"""
 
 
-def _normed(posted: DataFrame, keys: list[str], scale: Column | None = None) -> DataFrame:
-    """Postings with weights of unit norm by keys; no second shuffle follows a window on the same keys."""
-    weight = F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy(*keys)))
-    return posted.withColumn("w", weight * scale if scale is not None else weight)
-
-
-def scored_pairs(recs: DataFrame, max_df: int = 50_000, field_weights: tuple[float, ...] | None = None, posted: DataFrame | None = None) -> DataFrame:
-    """(s1, cand, source, score) of all pairs that share a token of their country: cosine, or the weighted sum of the
-    cosines of name and address blocks. Query tokens beyond the pool's vocabulary do not count.
-
-    field_weights: of name, of address and, if given, the share of the address weight that the name of a pool record
-    without address tokens takes over. posted: the postings where they are not those of postings().
+#: Field weights: of name, of address and, if given, the share of the address weight that the name of a pool record without
+#: address tokens takes over. A mapping has them by country; elsewhere fields are not told apart.
+FieldWeights = tuple[float, ...]
+
+
+def _vector(fields: FieldWeights | None, asked: bool) -> Column:
+    """The list t of (h, idf, is_addr) as a list of (h, w) of unit norm, or of unit norm by field and scaled."""
+    name, addr = F.sqrt("name_square"), F.sqrt("addr_square")
+    of = lambda weight: F.transform("t", lambda x: F.struct(x["h"].alias("h"), (x["idf"] * weight(x)).alias("w")))
+    either = lambda n, a: lambda x: F.when(x["is_addr"], a).otherwise(n)
+    if fields is None:
+        return of(lambda x: 1 / F.sqrt(F.col("name_square") + F.col("addr_square")))
+    if asked:
+        return of(either(fields[0] / name, fields[1] / addr))
+    alone = F.when(F.col("addr_square") == 0, F.lit((fields[0] + fields[2] * fields[1]) / fields[0])).otherwise(F.lit(1.0)) if len(fields) > 2 else F.lit(1.0)
+    return of(either(alone / name, 1 / addr))
+
+
+def _vectors(rows: DataFrame, field_weights: FieldWeights | Mapping[str, FieldWeights] | None, asked: bool) -> DataFrame:
+    """(country, source, id, v) of weighted postings."""
+    is_addr, square = F.col("token").startswith("a:"), F.col("idf") * F.col("idf")
+    lists = rows.groupBy("country", "source", F.col("entity_id").alias("id")).agg(
+        F.collect_list(F.struct(F.xxhash64("token").alias("h"), "idf", is_addr.alias("is_addr"))).alias("t"),
+        F.sum(F.when(is_addr, 0.0).otherwise(square)).alias("name_square"), F.sum(F.when(is_addr, square).otherwise(0.0)).alias("addr_square"),
+    )
+    if isinstance(field_weights, Mapping):
+        v = _vector(None, asked)
+        for country, fields in field_weights.items():
+            v = F.when(F.col("country") == country, _vector(tuple(fields), asked)).otherwise(v)
+    else:
+        v = _vector(field_weights, asked)
+    return lists.select("country", "source", "id", v.alias("v"))
+
+
+def scored_pairs(
+    recs: DataFrame,
+    max_df: int = 50_000,
+    field_weights: FieldWeights | Mapping[str, FieldWeights] | None = None,
+    posted: DataFrame | None = None,
+    k: int = 10,
+    reverse_k: int = 1,
+    bare_k: int = 2,
+) -> DataFrame:
+    """(s1, cand, country, source, score) of pairs that share a token of their country: cosine, or the weighted sum of the
+    cosines of name and address. Query tokens beyond the pool's vocabulary do not count.
+
+    Only pairs that the lists of top_k(), reverse_top() and empty_address_top() of these sizes can hold are kept, and all
+    of them. posted: the postings where they are not those of postings().
     """
-    idf = token_idf(recs, max_df, posted).drop("df")
-    posted = postings(recs) if posted is None else posted
-    block = F.when(F.col("token").startswith("a:"), F.lit("a")).otherwise(F.lit("n"))
-    pool = posted.where("source <> 'S1'").join(idf, ["country", "source", "token"]).withColumn("block", block)
-    asked = posted.where("source = 'S1'").drop("source").join(idf, ["country", "token"]).withColumn("block", block)
-    extra, scale, bare = [], None, None
-    if field_weights:
-        extra = ["block"]
-        scale = F.when(F.col("block") == "n", F.lit(field_weights[0])).otherwise(F.lit(field_weights[1]))
-        if len(field_weights) > 2:
-            alone = F.sum((F.col("block") == "a").cast("int")).over(Window.partitionBy("entity_id")) == 0
-            bare = F.when(alone, F.lit((field_weights[0] + field_weights[2] * field_weights[1]) / field_weights[0])).otherwise(F.lit(1.0))
-    q = _normed(asked, ["entity_id", "source", *extra], scale).select("country", "source", "token", F.col("entity_id").alias("s1"), F.col("w").alias("wq"))
-    p = _normed(pool, ["entity_id", *extra], bare).select("country", "source", "token", F.col("entity_id").alias("cand"), F.col("w").alias("wp"))
-    shared = q.join(p, ["country", "source", "token"]).select("s1", "cand", "source", (F.col("wq") * F.col("wp")).alias("part"))
-    # two records rarely share two tokens of one partition, so combining before the exchange would not pay; by s1 alone the
-    # exchange also serves the ranking of each S1 record's list
-    return shared.repartition("s1").groupBy("s1", "cand", "source").agg(F.round(F.sum("part"), 6).alias("score"))
+    posted = durable(postings(recs) if posted is None else posted)
+    idf = durable(token_idf(recs, max_df, posted).drop("df"))
+    words = "addr_tokens" if "addr_tokens" in recs.columns else "addr_words"
+    bare = recs.where("source <> 'S1'").select(F.col("entity_id").alias("id"), (F.size(words) == 0).alias("bare"))
+    pool = _vectors(posted.where("source <> 'S1'").join(idf, ["country", "source", "token"]), field_weights, False)
+    asked = _vectors(posted.where("source = 'S1'").drop("source").join(idf, ["country", "token"]), field_weights, True)
+    return best_pairs(durable(asked), durable(pool.join(bare, "id")), ["country", "source"], k, reverse_k, bare_k)
 
 
 def _pairs_sql(fields: str = "", block: str = "") -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.normalize import normalize_column
+from tessera.functions.registry import register
 from tessera.functions.text import LEGAL_FORMS, strip_legal_forms
 from tessera.operators import blocking as B
 from tessera.operators import decide as D
@@ -123,6 +124,32 @@ def idf_topk_field_weighted(recs):
     return B.top_k(B.scored_pairs(recs, field_weights=(0.7, 1.0)))
 
 
+@query(with_(R.RECS, B.BAG, B.IDF.replace("df <= 50000", "df <= 20"), B.PAIRS, B.TOPK) + "SELECT * FROM topk")
+def idf_topk_masked(recs):
+    """Tokens of more than 20 pool records are left out."""
+    return B.top_k(B.scored_pairs(recs, max_df=20))
+
+
+COUNTRY_PAIRS = """q AS (
+  SELECT b.entity_id AS s1, i.country, i.source, token, CASE WHEN i.country = 'fr'
+    THEN idf / sqrt(sum(idf * idf) OVER (PARTITION BY b.entity_id, i.source, substr(token, 1, 1))) * CASE substr(token, 1, 1) WHEN 'n' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END
+    ELSE idf / sqrt(sum(idf * idf) OVER (PARTITION BY b.entity_id, i.source)) END AS wq
+  FROM bag b JOIN idf i USING (country, token) WHERE b.source = 'S1'),
+p AS (
+  SELECT entity_id AS cand, country, source, token, CASE WHEN country = 'fr'
+    THEN idf / sqrt(sum(idf * idf) OVER (PARTITION BY entity_id, substr(token, 1, 1)))
+         * CASE WHEN max((substr(token, 1, 1) = 'a')::INTEGER) OVER (PARTITION BY entity_id) = 0 THEN (0.7::DOUBLE + 0.5::DOUBLE) / 0.7::DOUBLE ELSE 1.0::DOUBLE END
+    ELSE idf / sqrt(sum(idf * idf) OVER (PARTITION BY entity_id)) END AS wp
+  FROM bag JOIN idf USING (country, source, token)),
+pairs AS (SELECT s1, cand, source, round(sum(wq * wp), 6) AS score FROM q JOIN p USING (country, source, token) GROUP BY ALL)"""
+
+
+@query(with_(R.RECS, B.BAG, B.IDF, COUNTRY_PAIRS, B.TOPK) + "SELECT * FROM topk")
+def idf_topk_country_weights(recs):
+    """One country tells name and address apart, with a share for pool records without an address; the others do not."""
+    return B.top_k(B.scored_pairs(recs, field_weights={"fr": (0.7, 1.0, 0.5)}))
+
+
 @query(with_(R.RECS, B.BAG, B.IDF, B.PAIRS, B.REVERSE) + "SELECT * FROM rev")
 def reverse_top1(recs):
     return B.reverse_top(B.scored_pairs(recs))
@@ -202,6 +229,36 @@ def logit_blend(recs):
     return forward(recs).select("s1", "cand", F.round(D.logit_blend(F.col("block_score"), other, 0.8), 6).alias("blended"))
 
 
+@query(
+    with_(*FORWARD, SCORED, G.GRAM_CTES, f"outside AS ({G.GRAM_LIST})")
+    + """SELECT s1, cand, round(1 / (1 + exp(-(0.8::DOUBLE * ln(a / (1 - a)) + 0.2::DOUBLE * ln(b / (1 - b))))), 6) AS blended
+FROM (SELECT s1, cand, least(greatest(p, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS a, least(greatest(coalesce(score, p), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS b
+      FROM scored LEFT JOIN outside USING (s1, cand))"""
+)
+def blend_outside_scores(recs):
+    """The scores of another table, here the n-gram channel's, blended in; pairs that it lacks keep their own."""
+    outside = char_ngram_topk(recs).select("s1", "cand", F.col("score").alias("nn"))
+    return D.with_outside_scores(scored(recs), outside, "nn", 0.8).select("s1", "cand", F.round("blended", 6).alias("blended"))
+
+
+@query(
+    with_(*FORWARD, SCORED)
+    + """, kept AS (SELECT tau, s1, cand, p FROM scored JOIN (SELECT entity_id AS s1, country FROM recs WHERE source = 'S1') USING (s1)
+  JOIN (SELECT unnest([0.3::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE]) AS tau) ON p >= CASE country WHEN 'fr' THEN 0.5::DOUBLE WHEN 'de' THEN 0.2::DOUBLE ELSE tau END),
+mine AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tau, cand ORDER BY p DESC, s1) AS rn FROM kept) WHERE rn = 1)
+SELECT t.tau, e.entity_id AS s1, coalesce(string_agg(cand, ',' ORDER BY cand), '') AS ids FROM (SELECT entity_id FROM recs WHERE source = 'S1') e
+  JOIN (SELECT unnest([0.3::DOUBLE, 0.4::DOUBLE, 0.6::DOUBLE]) AS tau) t ON true LEFT JOIN mine m ON m.s1 = e.entity_id AND m.tau = t.tau GROUP BY ALL"""
+)
+def redecide(recs):
+    """Saved scores decided again at three thresholds, two countries with their own."""
+    return D.redecide(durable(scored(recs)), s1_of(recs), [0.3, 0.4, 0.6], {"fr": 0.5, "de": 0.2})
+
+
+@query(with_(*JUDGED) + "SELECT country, count(*) AS n, round(avg(f), 9) AS macro_f FROM entity JOIN (SELECT entity_id AS s1, country FROM recs) USING (s1) GROUP BY country")
+def country_macro_f(recs):
+    return D.macro_by_country(judged(recs), s1_of(recs))
+
+
 @query(with_(*JUDGED) + "SELECT * FROM entity")
 def fbeta_per_entity(recs):
     return judged(recs)
@@ -258,8 +315,8 @@ def threshold_sweep(recs):
 
 @query(with_(*FORWARD, SCORED) + """, r AS (SELECT count(*) FILTER (p >= 0.6::DOUBLE) AS o, count(*) FILTER (p >= 0.4::DOUBLE) AS t FROM scored WHERE cand LIKE 'S2%'),
 n AS (SELECT count(*) AS n FROM scored WHERE cand LIKE 'S3%' AND p >= 0.4::DOUBLE)
-SELECT max(p) AS tau FROM (SELECT p, sum(count(*)) OVER (ORDER BY p DESC) AS seen FROM scored WHERE cand LIKE 'S3%' AND p >= 0.4::DOUBLE GROUP BY p), r, n
-WHERE seen >= greatest(1, floor(n::DOUBLE * o / greatest(1, t) + 0.5::DOUBLE))""")
+SELECT coalesce(max(p) FILTER (seen >= greatest(1, round_even(n::DOUBLE * o / greatest(1, t), 0))), min(p)) AS tau
+FROM (SELECT p, sum(count(*)) OVER (ORDER BY p DESC) AS seen FROM scored WHERE cand LIKE 'S3%' AND p >= 0.4::DOUBLE GROUP BY p), r, n""")
 def drop_matched_tau(recs):
     s = scored(recs)
     return D.drop_matched_tau(s.where("cand like 'S3%'"), s.where("cand like 'S2%'"), 0.4, 0.6)
@@ -303,11 +360,24 @@ def validator_findings(recs):
     return findings(lists, s1_of(recs), forward(recs))
 
 
-@query()
+@query(with_(R.RECS) + "SELECT entity_id, replace(replace(replace(strip_accents(name_key), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae') AS name_norm FROM recs")
 def normalize_text(recs):
     return recs.select("entity_id", normalize_column(recs.sparkSession, F.col("name_key")).alias("name_norm"))
 
 
+@query(
+    with_(*FORWARD, "k AS (SELECT s1, cand, regexp_replace(a.name_key, '[^a-z0-9 ]', '', 'g') AS x, regexp_replace(b.name_key, '[^a-z0-9 ]', '', 'g') AS y FROM topk JOIN recs a ON a.entity_id = s1 JOIN recs b ON b.entity_id = cand)")
+    + "SELECT s1, cand, round(jaro_winkler_similarity(x, y), 6) AS sim FROM k WHERE x <> '' AND y <> ''"
+)
+def sql_functions(recs):
+    """The registered functions from spark.sql(): here the similarity of the ASCII part of names."""
+    spark = recs.sparkSession
+    register(spark)
+    plain = lambda c: F.regexp_replace(c, "[^a-z0-9 ]", "")
+    pairs = X.with_records(forward(recs), recs).select("s1", "cand", plain("a_name_key").alias("x"), plain("b_name_key").alias("y"))
+    return spark.sql("SELECT s1, cand, round(tessera_jaro_winkler(x, y), 6) AS sim FROM {pairs} WHERE x <> '' AND y <> ''", pairs=pairs)
+
+
 PLAIN = f"""reps AS (
   SELECT entity_id, source, country, name_tokens AS name_words, name_key, addr_key, addr_tokens AS addr_words,
          list_filter(name_tokens, lambda x: NOT list_contains({FORMS}, x)) AS name_kept,
@@ -327,6 +397,103 @@ def plain_reps(recs: DataFrame) -> DataFrame:
     )
 
 
+def full_reps(recs: DataFrame) -> DataFrame:
+    """plain_reps() with every column that set and flag features read, so that SQL can follow: names and addresses as they
+    are, their skeletons themselves."""
+    numbers = F.transform(F.regexp_extract_all("addr_key", F.lit("([0-9]+)"), 1), lambda d: d)
+    _, forms = strip_legal_forms(F.col("name_words"))
+    bare = F.transform("numbers", lambda d: F.regexp_replace(d, "^0+(?=.)", ""))
+    number_first = F.coalesce(F.get("addr_words", F.lit(0)).rlike("^[0-9]+$"), F.lit(False))
+    return plain_reps(recs).withColumn("numbers", numbers).select(
+        "*", F.col("name_key").alias("name_norm"), F.col("name_key").alias("name_skeleton"), F.lit("Latin").alias("name_script"), F.lit(0.0).alias("non_latin"), forms.alias("name_forms"),
+        F.col("addr_key").alias("addr_norm"), bare.alias("addr_digits"), F.filter("numbers", lambda d: F.length(d).isin(5, 6)).alias("addr_postcodes"),
+        F.when(number_first, F.coalesce(F.get(bare, F.lit(0)), F.lit(""))).otherwise(F.lit("")).alias("addr_leading"),
+    ).drop("numbers")
+
+
+UNCHECKED = {"name_char_ngram_jaccard", "name_skeleton_ngram_jaccard", "addr_char_ngram_jaccard"}  # char_ngram_jaccard has these measures
+
+
+def _set_sql() -> str:
+    size = lambda e: f"len({e})"
+    inter = lambda x, y: f"len(list_intersect({x}, {y}))"
+    jac = X._jac
+    holds = lambda x, y: f"CASE WHEN len({x}) = 0 THEN 0.0::DOUBLE ELSE {inter(x, y)}::DOUBLE / len(list_distinct({x})) END"
+    ratio = lambda x, y: f"CASE WHEN greatest(length({x}), length({y})) = 0 THEN 1.0::DOUBLE ELSE least(length({x}), length({y}))::DOUBLE / greatest(length({x}), length({y})) END"
+    flag = lambda c: f"coalesce(({c})::INTEGER, 0)"
+    unless = lambda known, c: f"CASE WHEN {known} THEN ({c})::DOUBLE ELSE -1 END"
+    first = lambda x: f"array_to_string(list_transform({x}, lambda w: substr(w, 1, 1)), '')"
+    family = lambda x: f"list_transform({x}, lambda w: map_extract({FAMILY}, w)[1])"
+    codes = lambda x: f"list_filter(list_transform({x}, lambda w: {X._code('w')}), lambda c: length(c) >= 2)"
+    numbered = "a.addr_number <> '' AND b.addr_number <> ''"
+    features = {
+        "name_token_jaccard": jac("a.name_kept", "b.name_kept"),
+        "name_token_containment_a_in_b": holds("a.name_kept", "b.name_kept"),
+        "name_token_containment_b_in_a": holds("b.name_kept", "a.name_kept"),
+        "name_shared_token_count": inter("a.name_kept", "b.name_kept"),
+        "name_len_ratio": ratio("a.name_key", "b.name_key"),
+        "name_token_count_diff": f"abs({size('a.name_kept')} - {size('b.name_kept')})",
+        "name_suffix_match": flag("list_has_any(a.name_forms, b.name_forms)"),
+        "name_suffix_family_match": flag(f"list_has_any({family('a.name_forms')}, {family('b.name_forms')})"),
+        "name_suffix_present_both": flag("len(a.name_forms) > 0 AND len(b.name_forms) > 0"),
+        "script_match": "1",
+        "name_missing_either": flag("a.name_key = '' OR b.name_key = ''"),
+        "name_key_exact_match": flag("a.name_key <> '' AND a.name_key = b.name_key"),
+        "name_initial_match": flag("substr(a.name_kept[1], 1, 1) = substr(b.name_kept[1], 1, 1)"),
+        "name_last_token_match": flag("a.name_kept[-1] = b.name_kept[-1]"),
+        "name_first_token_match": flag("a.name_kept[1] = b.name_kept[1]"),
+        "name_phonetic_jaccard": jac("a.codes", "b.codes"),
+        "name_core_match": flag("a.name_core <> '' AND a.name_core = b.name_core"),
+        "pct_non_latin_diff": "0",
+        "addr_postcode_match": unless("len(a.postcodes) > 0 AND len(b.postcodes) > 0", "list_has_any(a.postcodes, b.postcodes)::INTEGER"),
+        "addr_num_match": unless(numbered, "(a.addr_number = b.addr_number)::INTEGER"),
+        "addr_num_edit": unless(numbered, "least(levenshtein(a.addr_number, b.addr_number), 4)"),
+        "addr_num_log_absdiff": unless(numbered, "ln(1 + abs(try_cast(a.addr_number AS BIGINT) - try_cast(b.addr_number AS BIGINT))::DOUBLE)"),
+        "addr_num_len_diff": unless(numbered, "abs(length(a.addr_number) - length(b.addr_number))"),
+        "addr_num_street_match": unless(f"{numbered} AND a.addr_street <> '' AND b.addr_street <> ''", "(a.addr_number = b.addr_number AND a.addr_street = b.addr_street)::INTEGER"),
+        "addr_token_jaccard": jac("a.addr_words", "b.addr_words"),
+        "addr_len_ratio": ratio("a.addr_key", "b.addr_key"),
+        "addr_leading_digits_match": flag("a.leading <> '' AND a.leading = b.leading"),
+        "addr_digit_token_jaccard": unless("len(a.digits) > 0 AND len(b.digits) > 0", jac("a.digits", "b.digits")),
+        "addr_missing_either": flag("a.addr_key = '' OR b.addr_key = ''"),
+        "addr_missing_both": flag("a.addr_key = '' AND b.addr_key = ''"),
+        "addr_key_exact_match": flag("a.addr_key <> '' AND a.addr_key = b.addr_key"),
+        "name_a_in_addr_b": holds("a.name_kept", "b.addr_words"),
+        "name_b_in_addr_a": holds("b.name_kept", "a.addr_words"),
+        "name_tok_wjac": "coalesce(n.wjac, -1)", "name_max_only_idf": "coalesce(n.most, -1)", "addr_tok_wjac": "coalesce(w.wjac, -1)", "addr_max_only_idf": "coalesce(w.most, -1)",
+        "name_acronym_match": flag(f"(len(a.name_kept) >= 2 AND {first('a.name_kept')} = array_to_string(b.name_kept, '')) OR (len(b.name_kept) >= 2 AND {first('b.name_kept')} = array_to_string(a.name_kept, ''))"),
+        "name_num_conflict": unless("len(a.name_numbers) > 0 AND len(b.name_numbers) > 0", "(NOT list_has_any(a.name_numbers, b.name_numbers))::INTEGER"),
+        "country_match": flag("a.country = b.country"),
+        "target_source": "(k.source = 'S3')::INTEGER",
+    }
+    shown = ", ".join(f"round(({sql})::DOUBLE, 6) AS {name}" for name, sql in features.items())
+    return f"""{with_(*FORWARD, PLAIN)},
+whole AS (SELECT *, list_filter(name_words, lambda x: list_contains({FORMS}, x)) AS name_forms, regexp_extract_all(name_key, '[0-9]+') AS name_numbers,
+  {codes("string_split(name_key, ' ')")} AS codes, list_transform(regexp_extract_all(addr_key, '[0-9]+'), lambda d: CASE WHEN ltrim(d, '0') = '' THEN '0' ELSE ltrim(d, '0') END) AS digits,
+  list_filter(regexp_extract_all(addr_key, '[0-9]+'), lambda d: length(d) IN (5, 6)) AS postcodes FROM reps),
+f AS (SELECT *, CASE WHEN regexp_full_match(coalesce(addr_words[1], ''), '[0-9]+') THEN digits[1] ELSE '' END AS leading FROM whole),
+tw AS (SELECT DISTINCT entity_id, source, country, unnest(list_concat(list_transform(name_kept, lambda x: 'n:' || x), list_transform(addr_words, lambda x: 'a:' || x))) AS word FROM reps),
+pn AS (SELECT country, count(*) AS n FROM reps WHERE source <> 'S1' GROUP BY country), pc AS (SELECT country, word, count(*) AS c FROM tw WHERE source <> 'S1' GROUP BY ALL),
+wt AS (SELECT entity_id, word, CASE WHEN c IS NULL THEN ln(greatest(n, 2)::DOUBLE) ELSE ln(n::DOUBLE / c) END AS weight FROM tw JOIN pn USING (country) LEFT JOIN pc USING (country, word)),
+xs AS (SELECT s1, cand, word, weight FROM topk JOIN wt ON entity_id = s1), ys AS (SELECT s1, cand, word, weight FROM topk JOIN wt ON entity_id = cand),
+ov AS (SELECT s1, cand, substr(word, 1, 1) AS tag, CASE WHEN count(xw) = 0 OR count(yw) = 0 THEN -1 WHEN coalesce(sum(coalesce(xw, yw)), 0) = 0 THEN 0
+         ELSE coalesce(sum(xw) FILTER (yw IS NOT NULL), 0) / sum(coalesce(xw, yw)) END AS wjac,
+         CASE WHEN count(xw) = 0 OR count(yw) = 0 THEN -1 ELSE coalesce(max(coalesce(xw, yw)) FILTER (xw IS NULL OR yw IS NULL), 0) END AS most
+       FROM (SELECT s1, cand, word, xs.weight AS xw, ys.weight AS yw FROM xs FULL JOIN ys USING (s1, cand, word)) GROUP BY ALL)
+SELECT k.s1, k.cand, {shown} FROM topk k JOIN f a ON a.entity_id = k.s1 JOIN f b ON b.entity_id = k.cand
+LEFT JOIN ov n ON n.tag = 'n' AND n.s1 = k.s1 AND n.cand = k.cand LEFT JOIN ov w ON w.tag = 'a' AND w.s1 = k.s1 AND w.cand = k.cand"""
+
+
+FAMILY = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LEGAL_FORMS.items()) + "}"
+
+
+@query(_set_sql())
+def set_features(recs):
+    """The set, flag and number features of pairs of plain records."""
+    found = P.set_features(forward(recs).select("s1", "cand", "source"), full_reps(recs))
+    return found.select("s1", "cand", *[F.round(c, 6).alias(c) for c in found.columns[2:] if c not in UNCHECKED])
+
+
 @query(
     with_(R.RECS, "w AS (SELECT country, word FROM (SELECT country, unnest(name_tokens) AS word FROM recs WHERE source = 'S1') WHERE regexp_matches(word, '^[A-Za-z]{2,}$'))")
     + "SELECT country, word, round(ln(sum(count(*)) OVER (PARTITION BY country)::DOUBLE / count(*)), 6) AS cost FROM w GROUP BY country, word"
@@ -386,9 +553,9 @@ def token_weights(recs):
 
 @query("WITH " + R.RECS + ",\n" + G.GRAM_TOPK)
 def char_ngram_topk(recs):
-    """The n-gram channel from S1 to one pool, weights fitted on both."""
-    of = lambda s: recs.where(F.col("source") == s).select("country", F.col("entity_id").alias("id"), F.col("name_key").alias("text"))
-    return G.gram_top_k(of("S1"), of("S2"))
+    """The n-gram channel from S1 to both pools, weights fitted on S1 and each pool."""
+    texts = recs.select("country", "source", F.col("entity_id").alias("id"), F.col("name_key").alias("text"))
+    return G.gram_top_k(texts.where("source = 'S1'").drop("source"), texts.where("source <> 'S1'"))
 
 
 @query(
@@ -405,12 +572,12 @@ def learnt_dictionary(recs):
 
 
 def business(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as business records with raw names (words 1-8) and addresses (words 9-20)."""
+    """Documents as business records with raw names (words 1-8) and addresses (all other words)."""
     words = F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")
     role = F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"))
-    part = lambda at, n: F.array_join(F.slice(words, at, n), " ")
+    part = lambda at, n: F.array_join(F.slice(words, F.lit(at), n), " ")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
-    return docs.select(F.concat(role, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), role.alias("source"), F.col("lang").alias("country"), part(1, 8).alias("business_name"), part(9, 12).alias("business_address"))
+    return docs.select(F.concat(role, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), role.alias("source"), F.col("lang").alias("country"), part(1, F.lit(8)).alias("business_name"), part(9, F.size(words)).alias("business_address"))
 
 
 def represented(build: Callable[[DataFrame], DataFrame]) -> Callable:
@@ -444,6 +611,11 @@ def represent_records(reps):
 
 @represented
 def glued_names(reps):
+    """Beside the documents, records of a country of its own with glued names."""
+    names = ["S1 acme global foods", "S1 river stone works inc", "S1 global stone", "S2 acmefoods inc", "S3 riverstoneworks", "S2 foods", "S3 stonezzzzzzz"]
+    planted = [(f"{n[:2]}-planted{i}", n[:2], "planted", n[3:], "") for i, n in enumerate(names)]
+    made = E.represent(reps.sparkSession.createDataFrame(planted, "entity_id string, source string, country string, business_name string, business_address string"))
+    reps = durable(reps.unionByName(made))
     return E.segmented_names(reps, E.word_costs(reps))
 
 
@@ -488,3 +660,22 @@ FROM (SELECT entity_id AS s1 FROM recs WHERE source = 'S1') e CROSS JOIN g LEFT
 def rule_sweep(recs):
     """Macro F of every three-threshold rule of the grid 0.30 to 0.95."""
     return D.sweep_rules(scored(recs), owned_truth(recs), s1_of(recs), [(30 + 5 * i) / 100 for i in range(14)])
+
+
+@query(ORACLES["rule_sweep"].replace("SELECT tau0, tau_fallback, tau, round(avg(", "SELECT * FROM (SELECT tau0, tau_fallback, tau, round(avg(", 1) + ") ORDER BY macro_f DESC, tau0, tau_fallback, tau LIMIT 1")
+def best_rule(recs):
+    """The best rule of the sweep."""
+    return D.best_rule(rule_sweep(recs))
+
+
+@represented
+def link_businesses(reps):
+    """End to end over the full representation: channels, pruning, 88 features, boosted scores, policy, id lists."""
+    reps = durable(reps)
+    rows = labelled(featured(reps))
+    if rows.select("label").distinct().count() < 2:
+        scores = rows.select("s1", "cand", F.col("block_score").alias("p"))  # nothing to learn from
+    else:
+        scores = M.score(rows, M.train_ensemble(rows, TRAINED, members=1, maxIter=5, maxDepth=4), TRAINED).select("s1", "cand", "p")
+    entities = reps.where("source = 'S1'").select(F.col("entity_id").alias("s1"), "country")
+    return D.id_lists(entities, L.decide(durable(scores), entities, L.Policy(tau0=0.1, tau=0.8, tau_fallback=0.5, country_taus={"fr": 0.7})))

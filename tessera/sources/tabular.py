@@ -11,17 +11,23 @@ from pyspark.sql.types import StringType, StructField, StructType
 RECORD_COLUMNS = ("entity_id", "business_name", "business_address", "country")
 
 
-def read_records(spark: SparkSession, path: str, columns: Sequence[str] = RECORD_COLUMNS, quoting: bool = True) -> DataFrame:
+def header(spark: SparkSession, path: str) -> list[str]:
+    """The names in a tab-separated table's first line."""
+    head = spark.read.text(path).limit(1).collect()
+    return head[0][0].split("\t") if head else []
+
+
+def read_records(spark: SparkSession, path: str, columns: Sequence[str] = RECORD_COLUMNS, quoting: bool = True, wanted: Sequence[str] | None = None) -> DataFrame:
     """A tab-separated table with a header, all strings; an empty field is the empty string, not null.
 
-    A header that differs from columns raises. Without quoting a quote is an ordinary character.
+    A header that differs from columns raises. Without quoting a quote is an ordinary character. wanted: the columns to
+    read; the parser skips the others.
     """
     schema = StructType([StructField(c, StringType()) for c in columns])
-    head = spark.read.text(path).limit(1).collect()
-    if not head or head[0][0].split("\t") != list(columns):
+    if header(spark, path) != list(columns):
         raise ValueError(f"{path}: the header is not {', '.join(columns)}")
     reader = spark.read.option("sep", "\t").option("header", "true").option("nullValue", "\u0000").option("emptyValue", "").option("quote", '"' if quoting else "")
-    return reader.schema(schema).csv(path).na.fill("")
+    return reader.schema(schema).csv(path).select(*(wanted or columns)).na.fill("")
 
 
 def split_ids(column: str) -> Column:
@@ -39,6 +45,31 @@ def write_id_lists(lists: DataFrame, path: str, columns: Sequence[str]) -> None:
     lists.select(F.col("s1").alias(columns[0]), F.coalesce("ids", F.lit("")).alias(columns[1])).write.mode("overwrite").option("sep", "\t").option("header", "true").option("quote", "").option("emptyValue", "").csv(path)
 
 
+def file_findings(spark: SparkSession, path: str, columns: Sequence[str], entities: DataFrame, candidates: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """findings() of an id-list file, with its bad_header (0 or 1) and malformed_row (lines that have not two fields), and
+    with known (cand), every id of the pools, unknown_id. Malformed lines take no part in the other rules."""
+    lines = spark.read.text(path).where(F.col("value") != "\t".join(header(spark, path)))
+    cells = F.split("value", "\t", -1)
+    good = lines.where(F.size(cells) == 2).select(F.get(cells, F.lit(0)).alias("s1"), F.get(cells, F.lit(1)).alias("ids"))
+    bad = lines.where(F.size(cells) != 2).agg(F.lit("malformed_row").alias("rule"), F.count(F.lit(1)).alias("n"))
+    wrong = int(header(spark, path) != list(columns))
+    out = spark.range(1).select(F.lit("bad_header").alias("rule"), F.lit(wrong).cast("long").alias("n")).unionByName(bad).unionByName(findings(good, entities, candidates))
+    if known is not None:
+        each = good.select(F.explode(split_ids("ids")).alias("cand"))
+        out = out.unionByName(each.join(known.select("cand").distinct(), "cand", "left_anti").agg(F.lit("unknown_id").alias("rule"), F.count(F.lit(1)).alias("n")))
+    return out
+
+
+def write_scores(scored: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Write scores as Parquet with zstd, sorted by score within a file, so that a floor skips most of it when read."""
+    scored.sortWithinPartitions(F.desc("p")).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def read_scores(spark: SparkSession, path: str, floor: float = 0.0) -> DataFrame:
+    """Scores of at least floor; the filter reaches the scan."""
+    return spark.read.parquet(path).where(F.col("p") >= floor)
+
+
 def findings(lists: DataFrame, entities: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """(rule, n) of what is wrong with lists (s1, ids): counts of every rule, 0 included.
 
