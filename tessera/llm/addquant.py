@@ -32,6 +32,8 @@ BOOKS, WORDS, BEAM, ROUNDS = 32, 64, 4, 2
 ERROR_QUANTILE, ERROR_FACTOR = 0.995, 1.1
 #: Queries in a block, vectors in a packed row, and queries and vectors that are scored together; slices of codes at most.
 QUERY_BLOCK, CODE_BLOCK, TOGETHER, SLICES = 4096, 64, (256, 2048), 64
+#: Shares that rows of one vector are split into before the first of them are taken.
+SALTS = 64
 
 
 @dataclass
@@ -204,9 +206,10 @@ def search(
         return spark.createDataFrame([], schema)
     filled = F.when(F.size("v") < dims, F.concat("v", F.array_repeat(F.lit(0.0), F.lit(dims) - F.size("v")))).otherwise(F.col("v"))
     rows = rows.select("v_id", filled.alias("v")).select("v_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
-    # of equal vectors k + 1 rows can matter at most; they are cut before and after the exchange
-    first_rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("v_id"))).where(F.col("r") <= k + 1)
-    groups = durable(first_rows.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("v_id")).alias("v_ids")))
+    # of equal vectors k + 1 rows can matter at most: the first of each of SALTS shares, then of them all
+    share = Window.partitionBy("h1", "h2", F.pmod(F.xxhash64("v_id"), F.lit(SALTS))).orderBy("v_id")
+    first_rows = rows.withColumn("r", F.row_number().over(share)).where(F.col("r") <= k + 1)
+    groups = durable(first_rows.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.slice(F.array_sort(F.collect_list("v_id")), 1, k + 1).alias("v_ids")))
     asked = durable(rows.where(F.pmod("v_id", F.lit(query_every)) == 0).select("v_id", "h1", "h2"))
     queries = durable(groups.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "v"))
     n_queries = queries.count()

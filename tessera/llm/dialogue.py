@@ -9,7 +9,7 @@ very long ones have a single part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +20,13 @@ PART_CHARS = 1 << 16
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def name_of(role: Column, instruction_role: str) -> Column:
+    """The name of a role, one to one; the instruction role's is itself."""
+    plain = (role == instruction_role) | (role.rlike(r"^[\p{L}\p{N}_-]+$") & ~role.rlike("_[0-9a-f]{16}$") & (role != "unknown"))
+    odd = F.concat(F.regexp_replace(role, r"[^\p{L}\p{N}_-]", "_"), F.lit("_"), F.substring(F.md5(role), 1, 16))
+    return F.when(role.isNull(), F.lit("unknown")).when(plain, role).otherwise(odd)
+
+
 def rotate_perspectives(
     df: DataFrame,
     conv_col: str = "conv_id",
@@ -35,16 +42,19 @@ def rotate_perspectives(
     A participant is any role of the conversation but instruction_role, whose messages stay instructions and are never
     masked in. A conversation without participants gives no rows. Messages stand in order of turn, null first; ties go
     by role, then text, so repeated rows are repeated messages. A null role is the participant 'unknown', a null text is
-    empty, null conversation ids form one conversation. Names keep letters, digits, '_' and '-'; other characters become
-    '_'. mask_spans lists start-end (code points within the part) of each message of the perspective with its closing
+    empty, null conversation ids form one conversation. Roles of letters, digits, '_' and '-' are names as they stand; in
+    others every other character becomes '_' and 16 digits of the role's MD5 follow, so different roles never share a name
+    (roles that look like such a name, and a role 'unknown', are taken so too). A mark within a text is broken by a
+    backslash after its '<', of which those that stand there already get one more: texts can forge no turn, and come back
+    when one is taken away. mask_spans lists start-end (code points within the part) of each message of the perspective with its closing
     mark, comma-joined; masked_chars is their length. An empty table gives an empty result; other columns do not matter.
     """
     spark = df.sparkSession
     said = df.select(
         F.col(conv_col).alias("d_conv"),
         F.col(turn_col).alias("d_turn"),
-        F.regexp_replace(F.coalesce(F.col(role_col), F.lit("unknown")), r"[^\p{L}\p{N}_-]", "_").alias("d_role"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("d_text"),
+        name_of(F.col(role_col), instruction_role).alias("d_role"),
+        F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"<(\\*)\|im_", r"<\\$1|im_").alias("d_text"),
     )
     speakers = said.where(F.col("d_role") != instruction_role).select(F.col("d_conv").alias("p_conv"), F.col("d_role").alias("p_role")).distinct()
     rotated = said.join(speakers, F.col("d_conv").eqNullSafe(F.col("p_conv")))
@@ -96,7 +106,10 @@ def rotate_perspectives(
 
 ORACLE = """
 WITH said AS (
-  SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[^\\p{L}\\p{N}_-]', '_', 'g') AS role, coalesce(text, '') AS text
+  SELECT conv_id, turn, CASE WHEN role IS NULL THEN 'unknown'
+           WHEN role = 'system' OR (regexp_full_match(role, '[\\p{L}\\p{N}_-]+') AND NOT regexp_matches(role, '_[0-9a-f]{16}$') AND role <> 'unknown') THEN role
+           ELSE regexp_replace(role, '[^\\p{L}\\p{N}_-]', '_', 'g') || '_' || substr(md5(role), 1, 16) END AS role,
+         regexp_replace(coalesce(text, ''), '<(\\\\*)\\|im_', '<\\\\\\1|im_', 'g') AS text
   FROM {conversations}),
 speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
 rotated AS (

@@ -26,9 +26,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(ident: Column, seed: int) -> Column:
-    """60 hash bits of the id, the same on every run and engine."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit(""))))
+def random_key(ident: Column, text: Column, seed: int) -> Column:
+    """60 hash bits of the id, or of the text where there is none, the same on every run and engine."""
+    name = F.coalesce(ident.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name))
     return F.conv(F.substring(digest, 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -92,8 +93,8 @@ def mix_sources(
     A source's budget is its target rounded to words. Whole epochs of the source come first; the rest is cut in the
     order of the rows' random keys at the exact word, so that one row at most is taken in part.
 
-    Null text or text without words: size 0, taken 0. A null source is a source of its own. Null ids share one key.
-    Ties of key are ordered by id, then size; repeated rows count as often as they stand. An empty table gives an empty
+    Null text or text without words: size 0, taken 0. A null source is a source of its own. Rows without an id take
+    their key from the text. Ties of key are ordered by id, then size; repeated rows count as often as they stand. An empty table gives an empty
     result. Other columns of df do not matter, whatever their names.
     """
     sized = durable(
@@ -101,7 +102,7 @@ def mix_sources(
             F.col(id_col).alias("mix_id"),
             F.col(source_col).alias("mix_source"),
             word_count(F.col(text_col)).alias("size"),
-            random_key(F.col(id_col), seed).alias("mix_key"),
+            random_key(F.col(id_col), F.col(text_col), seed).alias("mix_key"),
         )
     )
     totals = sized.groupBy("mix_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("mix_rows"))
@@ -161,7 +162,7 @@ def mixed_rows(df: DataFrame, weights: Sequence[float] | Mapping[str | None, flo
 ORACLE = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS k
   FROM {documents}),
 totals AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -297,19 +297,22 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(columns)], names=[n for n, _ in columns])
 
 
-def range_of(value: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are below value, by binary search; 0 for null. Unlike a range exchange this takes no
-    sampling pass over the texts."""
+def range_of(value: Column, cuts: list[int], or_equal: bool = False) -> Column:
+    """How many of the sorted cuts are below value (or equal to it), by binary search; 0 for null. Unlike a range exchange
+    this takes no sampling pass over the texts."""
     if not cuts:
         return F.lit(0)
     steps = len(cuts).bit_length()
     padded = F.array(*[F.lit(c).cast("long") for c in cuts + [(1 << 63) - 1] * ((1 << steps) - 1 - len(cuts))])
-    found = F.aggregate(F.array(*[F.lit(1 << s) for s in range(steps - 1, -1, -1)]), F.lit(0), lambda at, step: F.when(F.get(padded, at + step - 1) < value, at + step).otherwise(at))
+    found = F.aggregate(F.array(*[F.lit(1 << s) for s in range(steps - 1, -1, -1)]), F.lit(0), lambda at, step: F.when(F.get(padded, at + step - 1) <= value if or_equal else F.get(padded, at + step - 1) < value, at + step).otherwise(at))
     return F.coalesce(F.when(value.isNotNull(), found), F.lit(0))
 
 
 def write_shards(df: DataFrame, target: str, file: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode whole texts, end_id behind each, in ascending order of id, and write the shards to the dataset target."""
+    """Encode whole texts, end_id behind each, in ascending order of id, and write the shards to the dataset target.
+
+    Documents' bounds are kept beside the bit-planes: end_id may stand within a text as well, so it marks no bound.
+    """
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(file)  # the tokenizer's file: some two megabytes
@@ -333,10 +336,18 @@ def write_shards(df: DataFrame, target: str, file: str, end_id: int = END_ID, sh
             yield _batch(SHARDS, [(part, seq, len(ids), total, pack_shard(np.concatenate(held), ids, sizes))])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(id_col).cast("long").alias("w_id"), F.col(text_col).alias("w_text"))
-    cuts = df.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else []
-    dealt = rows.repartitionById(n, range_of(F.col("w_id"), cuts or []))
-    dealt.sortWithinPartitions("w_id", F.xxhash64("w_text")).mapInArrow(kernel, SHARDS).write.option("compression", "none").parquet(target)
+    ident = F.col(id_col).cast("long")
+    cuts = F.percentile_approx(ident, [i / n for i in range(1, n)], 10_000) if n > 1 else F.array().cast("array<long>")
+    stats = df.agg(cuts.alias("q"), F.count(F.lit(1)).alias("all"), F.count(ident).alias("known")).first()
+    cuts, lone = list(stats["q"] or []), stats["all"] - stats["known"]
+    lone_parts = max(1, round(n * lone / stats["all"])) if lone else 0
+    # rows without an id come first, in parts by the hash of their text; so do those of an id that spans several cuts
+    share = lambda parts: F.floor(F.col("w_hash") / F.lit(float(1 << 62)) * parts).cast("int")
+    low, high = range_of(F.col("w_id"), cuts), range_of(F.col("w_id"), cuts, True)
+    part = F.when(F.col("w_id").isNull(), F.least(share(F.lit(lone_parts)), F.lit(max(0, lone_parts - 1)))).otherwise(F.lit(lone_parts) + F.when(high - low > 1, F.least(low + share(high - low), high - 1)).otherwise(low))
+    rows = df.select(ident.alias("w_id"), F.col(text_col).alias("w_text"), F.shiftrightunsigned(F.xxhash64(text_col), 2).alias("w_hash"))
+    dealt = rows.repartitionById(max(1, lone_parts + len(cuts) + 1), part)
+    dealt.sortWithinPartitions("w_id", "w_hash").select("w_id", "w_text").mapInArrow(kernel, SHARDS).write.option("compression", "none").parquet(target)
 
 
 def read_shards(spark, source: str) -> DataFrame:
