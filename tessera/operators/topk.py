@@ -77,8 +77,6 @@ def cell_lists(asked: pa.Table, pool: pa.Table, k: int, reverse_k: int, bare_k:
         new, new_row, pushed = np.where(score > threshold, score, -np.inf), np.full(n_pool, i), np.zeros(n_pool, dtype=bool)
         for level in range(reverse_k):
             better = (new > back[level]) | (pushed & (new == back[level]) & (new > -np.inf))  # what is pushed down came first
-            if not better.any():
-                break
             back[level], new = np.where(better, new, back[level]), np.where(better, back[level], new)
             back_row[level], new_row = np.where(better, new_row, back_row[level]), np.where(better, back_row[level], new_row)
             pushed |= better
