@@ -32,7 +32,9 @@ MINIMA = 8
 #: Texts that common shingles are counted on, by hash of the text, and shingles that stand last at most.
 SAMPLE_TEXTS, COMMON = 4000, 1 << 17
 #: Words whose hashes a worker remembers, and hashes in a batch of sets that it hands on.
-MEMO_WORDS, BATCH = 200_000, 1 << 18
+MEMO_WORDS, BATCH = 100_000, 1 << 18
+#: Bits of a mask of keys: two megabytes.
+MASK_BITS = 24
 ODD = np.random.default_rng(7).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -155,18 +157,47 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
+def mask_of(keys: DataFrame, column: str) -> np.ndarray:
+    """2**MASK_BITS bits that tell which uniformly hashed keys may be among these: one by their first bits is set for each.
+
+    Whatever the number of keys, 2**(MASK_BITS - 6) sums come to the driver. Filled up, the mask holds nothing back.
+    """
+    word, bit = F.shiftrightunsigned(column, 70 - MASK_BITS), F.shiftrightunsigned(column, 64 - MASK_BITS).bitwiseAND(F.lit(63))
+    rows = keys.groupBy(word.cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("bits")).toPandas()
+    out = np.zeros(1 << (MASK_BITS - 6), dtype=np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def passes(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    k = keys.view(np.uint64)
+    word, bit = (k >> np.uint64(70 - MASK_BITS)).astype(np.int64), (k >> np.uint64(64 - MASK_BITS)) & np.uint64(63)
+    return (mask[word] >> bit & np.uint64(1)).astype(bool)
+
+
+def masked(rows: DataFrame, column: str, mask: np.ndarray) -> DataFrame:
+    """Rows whose key may be among those of the mask, so that only few are exchanged."""
+    shared = rows.sparkSession.sparkContext.broadcast(mask)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(passes(shared.value, b.column(column).to_numpy())))
+
+    return rows.mapInArrow(kernel, rows.schema)
+
+
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the distinct pairs (u, v) of nodes with a Jaccard of at least 0.8."""
 
-    def sides(of: DataFrame, what: DataFrame, value: str) -> DataFrame:
+    def sides(of: DataFrame, value: Column, name: str) -> DataFrame:
         wanted = of.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        found = durable(what.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first(value).alias(value)))
-        side = lambda n: found.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), F.col(value).alias(f"{n}_{value}"))
+        some = masked(sets.select("node", "n", "shingles"), "node", mask_of(wanted, "node"))
+        found = durable(some.select("node", "n", value.alias(name)).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first(name).alias(name)))
+        side = lambda n: found.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), F.col(name).alias(f"{n}_{name}"))
         return of.join(side("u"), "u").join(side("v"), "v")
 
-    counts = sets.select("node", "n", ranges_of(F.col("shingles")).alias("ranges"))
-    hopeful = durable(sides(pairs, counts, "ranges").where(_may_reach("u_ranges", "v_ranges", "u_n", "v_n")).select("u", "v"))
-    return durable(sides(hopeful, sets.select("node", "n", "shingles"), "shingles").where(_near("u_shingles", "v_shingles")).select("u", "v"))
+    hopeful = durable(sides(pairs, ranges_of(F.col("shingles")), "ranges").where(_may_reach("u_ranges", "v_ranges", "u_n", "v_n")).select("u", "v"))
+    return durable(sides(hopeful, F.col("shingles"), "shingles").where(_near("u_shingles", "v_shingles")).select("u", "v"))
 
 
 def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -216,7 +247,8 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     posts = sets.select("node", "shingles").mapInArrow(prefixes, "key long, node long, n int, pos int")  # made twice rather than kept
     spans = lambda p, c: p.groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo != hi").select("key")
-    shared = durable(posts.join(spans(posts, "node"), "key").distinct().join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
+    twice = durable(spans(posts, "node"))
+    shared = durable(masked(posts, "key", mask_of(twice, "key")).join(twice, "key").distinct().join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
     shared = durable(shared.join(spans(shared, "part"), "key"))
     other = shared.select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "part")])
     room = F.lit(1) + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) - 1
