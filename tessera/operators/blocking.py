@@ -99,12 +99,15 @@ def scored_pairs(
     of them. posted: the postings where they are not those of postings().
     """
     posted = durable(postings(recs) if posted is None else posted)
-    idf = durable(token_idf(recs, max_df, posted).drop("df"))
+    idf = token_idf(recs, max_df, posted).drop("df")
     words = "addr_tokens" if "addr_tokens" in recs.columns else "addr_words"
     bare = recs.where("source <> 'S1'").select(F.col("entity_id").alias("id"), (F.size(words) == 0).alias("bare"))
     pool = _vectors(posted.where("source <> 'S1'").join(idf, ["country", "source", "token"]), field_weights, False)
     asked = _vectors(posted.where("source = 'S1'").drop("source").join(idf, ["country", "token"]), field_weights, True)
-    return best_pairs(durable(asked), durable(pool.join(bare, "id")), ["country", "source"], k, reverse_k, bare_k)
+    counts = recs.groupBy("country", "source").agg(F.count(F.lit(1)).alias("c"))
+    most = lambda s1: F.coalesce(F.max(F.when((F.col("source") == "S1") == s1, F.col("c"))), F.lit(0))
+    sizes = tuple(counts.agg(most(True), most(False)).first())
+    return best_pairs(asked, pool.join(bare, "id"), ["country", "source"], k, reverse_k, bare_k, sizes=sizes)
 
 
 def _pairs_sql(fields: str = "", block: str = "") -> str:

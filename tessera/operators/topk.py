@@ -89,17 +89,18 @@ def cell_lists(asked: pa.Table, pool: pa.Table, k: int, reverse_k: int, bare_k:
     return row[once], col[once], score[once]
 
 
-def best_pairs(asked: DataFrame, pool: DataFrame, group: list[str], k: int = 10, reverse_k: int = 1, bare_k: int = 0, threshold: float = 0.0) -> DataFrame:
+def best_pairs(asked: DataFrame, pool: DataFrame, group: list[str], k: int = 10, reverse_k: int = 1, bare_k: int = 0, threshold: float = 0.0, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(s1, cand, *group, score) of the pairs with a score above threshold that are among the k best of their asked record,
     the reverse_k best of their pool record or the bare_k best of their asked record with a bare one; and of some that are
     so within a block only. Ties go to smaller ids. Rank the result for the lists themselves: it holds all their pairs.
 
     asked: *group, id, v; pool: the same and bare. v is a list of (h, w), the hash and weight of each distinct token.
+    sizes: the most records of a group on either side, where they are known; they only set the number of blocks.
     """
     spark = asked.sparkSession
     ship(spark)
-    sizes = lambda df: df.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    n_asked, n_pool = sizes(asked), sizes(pool)
+    largest = lambda df: df.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    n_asked, n_pool = sizes or (largest(asked), largest(pool))
     pool_blocks = max(1, -(-n_pool // POOL_BLOCK))
     asked_blocks = max(1, -(-n_asked // ASKED_BLOCK), min(spark.sparkContext.defaultParallelism, n_asked // LEAST_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")

@@ -58,7 +58,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out.tessera_folder = folder
     return out
