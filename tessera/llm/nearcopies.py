@@ -11,12 +11,13 @@ link is checked on the whole sets, so nothing rests on the chance of a minimum h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -129,14 +130,10 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(kernel, "node long, n int, fp long, least array<long>, shingles binary")
 
 
-def ranges_of(shingles: Column) -> Column:
-    """How many of the hashes lie in each of 256 equal ranges, one byte each; 255 stands for as many or more."""
-
-    @pandas_udf("binary")
-    def kernel(sets: pd.Series) -> pd.Series:
-        return pd.Series([np.minimum(np.bincount(np.frombuffer(s, dtype="<u8") >> np.uint64(56), minlength=256), 255).astype(np.uint8).tobytes() for s in sets], dtype=object)
-
-    return kernel(shingles)
+def ranges_of(shingles: pa.Array) -> pa.Array:
+    """How many of the hashes of each set lie in each of 256 equal ranges, one byte each; 255 stands for as many or more."""
+    counts = (np.bincount(np.frombuffer(s.as_buffer(), dtype="<u8") >> np.uint64(56), minlength=256) for s in shingles)
+    return pa.array([np.minimum(c, 255).astype(np.uint8).tobytes() for c in counts], pa.binary())
 
 
 @pandas_udf(BooleanType())
@@ -175,29 +172,25 @@ def passes(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (mask[word] >> bit & np.uint64(1)).astype(bool)
 
 
-def masked(rows: DataFrame, column: str, mask: np.ndarray) -> DataFrame:
-    """Rows whose key may be among those of the mask, so that only few are exchanged."""
-    shared = rows.sparkSession.sparkContext.broadcast(mask)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(passes(shared.value, b.column(column).to_numpy())))
-
-    return rows.mapInArrow(kernel, rows.schema)
-
-
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the distinct pairs (u, v) of nodes with a Jaccard of at least 0.8."""
 
-    def sides(of: DataFrame, value: Column, name: str) -> DataFrame:
+    def sides(of: DataFrame, name: str, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
         wanted = of.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        some = masked(sets.select("node", "n", "shingles"), "node", mask_of(wanted, "node"))
-        found = durable(some.select("node", "n", value.alias(name)).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first(name).alias(name)))
+        mask = of.sparkSession.sparkContext.broadcast(mask_of(wanted, "node"))
+
+        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b = b.filter(pa.array(passes(mask.value, b.column("node").to_numpy())))
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), make(b.column("shingles"))], names=["node", "n", name])
+
+        some = sets.select("node", "n", "shingles").mapInArrow(kernel, f"node long, n int, {name} binary")
+        found = durable(some.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first(name).alias(name)))
         side = lambda n: found.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), F.col(name).alias(f"{n}_{name}"))
         return of.join(side("u"), "u").join(side("v"), "v")
 
-    hopeful = durable(sides(pairs, ranges_of(F.col("shingles")), "ranges").where(_may_reach("u_ranges", "v_ranges", "u_n", "v_n")).select("u", "v"))
-    return durable(sides(hopeful, F.col("shingles"), "shingles").where(_near("u_shingles", "v_shingles")).select("u", "v"))
+    hopeful = durable(sides(pairs, "ranges", ranges_of).where(_may_reach("u_ranges", "v_ranges", "u_n", "v_n")).select("u", "v"))
+    return durable(sides(hopeful, "shingles", lambda x: x).where(_near("u_shingles", "v_shingles")).select("u", "v"))
 
 
 def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -228,7 +221,7 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
     order = np.argsort(known)
     common = spark.sparkContext.broadcast((known[order], counts[order]))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch], mask: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
         known, counts = common.value
         for b in batches:
             found = []
@@ -241,14 +234,21 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
                 n = len(h)
                 took = h[np.lexsort((h, rank))][: n - least_common(n) + 1]
                 k = len(took)
-                found.append((took.view(np.int64), np.full(k, node.as_py()), np.full(k, n, dtype=np.int32), np.arange(k, dtype=np.int32)))
+                place = np.arange(k, dtype=np.int32)
+                if mask is not None:
+                    may = passes(mask.value, took)
+                    took, place = took[may], place[may]
+                found.append((took.view(np.int64), np.full(len(took), node.as_py()), np.full(len(took), n, dtype=np.int32), place))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["key", "node", "n", "pos"])
 
-    posts = sets.select("node", "shingles").mapInArrow(prefixes, "key long, node long, n int, pos int")  # made twice rather than kept
+    # the postings are made twice rather than kept: to find keys of several nodes, and again for those keys alone
+    posts = lambda kernel: sets.select("node", "shingles").mapInArrow(kernel, "key long, node long, n int, pos int")
     spans = lambda p, c: p.groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo != hi").select("key")
-    twice = durable(spans(posts, "node"))
-    shared = durable(masked(posts, "key", mask_of(twice, "key")).join(twice, "key").distinct().join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
+    twice = durable(spans(posts(prefixes), "node"))
+    mask = spark.sparkContext.broadcast(mask_of(twice, "key"))
+    again = posts(lambda batches: prefixes(batches, mask)).join(twice, "key").distinct()
+    shared = durable(again.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
     shared = durable(shared.join(spans(shared, "part"), "key"))
     other = shared.select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "part")])
     room = F.lit(1) + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) - 1

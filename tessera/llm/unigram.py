@@ -27,7 +27,7 @@ from tessera.session import ship
 
 MARK = "▁"
 #: Stretches in each of the two generations that a worker remembers; longer stretches than MEMO_CHARS are not kept.
-MEMO, MEMO_CHARS = 100_000, 64
+MEMO, MEMO_CHARS = 60_000, 64
 #: Characters that one batch of Viterbi holds in its tables at most (padding included).
 BATCH_CHARS = 1 << 16
 #: How far below the lowest score of any piece an unknown character scores (fixed value of the format).

@@ -492,16 +492,20 @@ def test_simhash_dedup_keeps_one_row_a_group(spark):
     assert got == [(-1, "five six seven eight"), (-1, "one two three four"), (4, "sun moon stars"), (9, "red green blue")]
 
 
-def test_pipeline(spark, sf_dir, tmp_path):
+def test_pipeline(spark, sf_dir, monkeypatch):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, sizes = docs.columns, [docs.count()]
-    for name, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        sizes.append(docs.count())
-        assert name == "sentencepiece" or docs.columns == columns
+    tables, write = {}, corpus_pipeline.written
+
+    def kept(df, name):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(corpus_pipeline, "written", kept)
+    last = corpus_pipeline.run(spark, sf_dir).cache()
+    assert list(tables) == [name for name, _ in corpus_pipeline.STAGES][:-1] and all(t.columns == docs.columns for t in tables.values())
+    sizes = [docs.count(), *(t.count() for t in tables.values()), last.count()]
     assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[4] == sizes[3]
-    assert docs.where("not round_trip").count() == 0
-    assert corpus_pipeline.run(spark, sf_dir).count() == sizes[4]
+    assert last.where("not round_trip").count() == 0
+    last.unpersist()
