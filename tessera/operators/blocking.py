@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tessera.operators.records import RECS
 from tessera.operators.topk import best_pairs
-from tessera.session import durable
+from tessera.session import durable, written
 
 
 def postings(recs: DataFrame) -> DataFrame:
@@ -67,20 +67,15 @@ def _vector(fields: FieldWeights | None, asked: bool) -> Column:
     return of(either(alone / name, 1 / addr))
 
 
-def _vectors(rows: DataFrame, field_weights: FieldWeights | Mapping[str, FieldWeights] | None, asked: bool) -> DataFrame:
-    """(country, source, id, v) of weighted postings."""
-    is_addr, square = F.col("token").startswith("a:"), F.col("idf") * F.col("idf")
-    lists = rows.groupBy("country", "source", F.col("entity_id").alias("id")).agg(
-        F.collect_list(F.struct(F.xxhash64("token").alias("h"), "idf", is_addr.alias("is_addr"))).alias("t"),
-        F.sum(F.when(is_addr, 0.0).otherwise(square)).alias("name_square"), F.sum(F.when(is_addr, square).otherwise(0.0)).alias("addr_square"),
-    )
-    if isinstance(field_weights, Mapping):
-        v = _vector(None, asked)
-        for country, fields in field_weights.items():
-            v = F.when(F.col("country") == country, _vector(tuple(fields), asked)).otherwise(v)
-    else:
-        v = _vector(field_weights, asked)
-    return lists.select("country", "source", "id", v.alias("v"))
+def _weighted(asked: Column, field_weights: FieldWeights | Mapping[str, FieldWeights] | None) -> Column:
+    """v of the lists of both sides."""
+    of = lambda fields: F.when(asked, _vector(fields, True)).otherwise(_vector(fields, False))
+    if not isinstance(field_weights, Mapping):
+        return of(field_weights)
+    v = of(None)
+    for country, fields in field_weights.items():
+        v = F.when(F.col("country") == country, of(tuple(fields))).otherwise(v)
+    return v
 
 
 def scored_pairs(
@@ -98,16 +93,24 @@ def scored_pairs(
     Only pairs that the lists of top_k(), reverse_top() and empty_address_top() of these sizes can hold are kept, and all
     of them. posted: the postings where they are not those of postings().
     """
-    posted = durable(postings(recs) if posted is None else posted)
-    idf = token_idf(recs, max_df, posted).drop("df")
+    posted = postings(recs) if posted is None else posted
+    posted = written(posted.select("entity_id", "country", "source", F.xxhash64("token").alias("h"), F.col("token").startswith("a:").alias("is_addr")), "postings")
+    counts = recs.groupBy("country", "source").agg(F.count(F.lit(1)).alias("n"))
+    most = lambda s1: F.coalesce(F.max(F.when((F.col("source") == "S1") == s1, F.col("n"))), F.lit(0))
+    known = counts.agg(most(True).alias("asked"), most(False).alias("pool"), F.sort_array(F.collect_set("source")).alias("sources")).first()
+    pools = F.array(*[F.lit(s) for s in known["sources"] if s != "S1"]).cast("array<string>")
+    df = posted.where("source <> 'S1'").groupBy("country", F.col("source").alias("pool"), "h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max_df)
+    idf = df.join(counts.withColumnRenamed("source", "pool"), ["country", "pool"]).select("country", "pool", "h", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
+    asks, square = F.col("source") == "S1", F.col("idf") * F.col("idf")
+    rows = posted.withColumn("pool", F.explode(F.when(asks, pools).otherwise(F.array("source")))).join(idf, ["country", "pool", "h"])
+    lists = rows.groupBy("country", "pool", F.col("entity_id").alias("id"), asks.alias("asks")).agg(
+        F.collect_list(F.struct("h", "idf", "is_addr")).alias("t"),
+        F.sum(F.when(F.col("is_addr"), 0.0).otherwise(square)).alias("name_square"), F.sum(F.when(F.col("is_addr"), square).otherwise(0.0)).alias("addr_square"),
+    )
     words = "addr_tokens" if "addr_tokens" in recs.columns else "addr_words"
-    bare = recs.where("source <> 'S1'").select(F.col("entity_id").alias("id"), (F.size(words) == 0).alias("bare"))
-    pool = _vectors(posted.where("source <> 'S1'").join(idf, ["country", "source", "token"]), field_weights, False)
-    asked = _vectors(posted.where("source = 'S1'").drop("source").join(idf, ["country", "token"]), field_weights, True)
-    counts = recs.groupBy("country", "source").agg(F.count(F.lit(1)).alias("c"))
-    most = lambda s1: F.coalesce(F.max(F.when((F.col("source") == "S1") == s1, F.col("c"))), F.lit(0))
-    sizes = tuple(counts.agg(most(True), most(False)).first())
-    return best_pairs(asked, pool.join(bare, "id"), ["country", "source"], k, reverse_k, bare_k, sizes=sizes)
+    bare = recs.where((F.col("source") != "S1") & (F.size(words) == 0)).select(F.col("entity_id").alias("id"), F.lit(True).alias("bare")).distinct()
+    vectors = lists.join(bare, "id", "left").select("country", F.col("pool").alias("source"), "id", _weighted(F.col("asks"), field_weights).alias("v"), "asks", F.coalesce("bare", F.lit(False)).alias("bare"))
+    return best_pairs(vectors, ["country", "source"], k, reverse_k, bare_k, sizes=(known["asked"], known["pool"]))
 
 
 def _pairs_sql(fields: str = "", block: str = "") -> str:

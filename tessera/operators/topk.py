@@ -89,25 +89,26 @@ def cell_lists(asked: pa.Table, pool: pa.Table, k: int, reverse_k: int, bare_k:
     return row[once], col[once], score[once]
 
 
-def best_pairs(asked: DataFrame, pool: DataFrame, group: list[str], k: int = 10, reverse_k: int = 1, bare_k: int = 0, threshold: float = 0.0, sizes: tuple[int, int] | None = None) -> DataFrame:
+def best_pairs(vectors: DataFrame, group: list[str], k: int = 10, reverse_k: int = 1, bare_k: int = 0, threshold: float = 0.0, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(s1, cand, *group, score) of the pairs with a score above threshold that are among the k best of their asked record,
     the reverse_k best of their pool record or the bare_k best of their asked record with a bare one; and of some that are
     so within a block only. Ties go to smaller ids. Rank the result for the lists themselves: it holds all their pairs.
 
-    asked: *group, id, v; pool: the same and bare. v is a list of (h, w), the hash and weight of each distinct token.
-    sizes: the most records of a group on either side, where they are known; they only set the number of blocks.
+    vectors: *group, id, v, asks (whether it is an asked record) and bare. v is a list of (h, w), the hash and weight of each
+    distinct token. sizes: the most asked and pool records of a group, where known; they only set the number of blocks.
     """
-    spark = asked.sparkSession
+    spark = vectors.sparkSession
     ship(spark)
-    largest = lambda df: df.groupBy(*group).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    n_asked, n_pool = sizes or (largest(asked), largest(pool))
-    pool_blocks = max(1, -(-n_pool // POOL_BLOCK))
-    asked_blocks = max(1, -(-n_asked // ASKED_BLOCK), min(spark.sparkContext.defaultParallelism, n_asked // LEAST_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = asked.select(*group, "id", "v", F.lit(False).alias("bare"), F.lit(True).alias("asks"), block(asked_blocks).alias("a_block"), every(pool_blocks).alias("p_block"))
-    p = pool.select(*group, "id", "v", "bare", F.lit(False).alias("asks"), every(asked_blocks).alias("a_block"), block(pool_blocks).alias("p_block"))
-    kinds = dict(asked.dtypes)
+    if sizes is None:
+        counts = vectors.groupBy(*group, "asks").agg(F.count(F.lit(1)).alias("c"))
+        sizes = tuple(n or 0 for n in counts.agg(F.max(F.when(F.col("asks"), F.col("c"))), F.max(F.when(~F.col("asks"), F.col("c")))).first())
+    pool_blocks = max(1, -(-sizes[1] // POOL_BLOCK))
+    asked_blocks = max(1, -(-sizes[0] // ASKED_BLOCK), min(spark.sparkContext.defaultParallelism, sizes[0] // LEAST_BLOCK))
+    block = lambda n: F.array(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    cells = vectors.withColumn("a_block", F.explode(F.when(F.col("asks"), block(asked_blocks)).otherwise(every(asked_blocks))))
+    cells = cells.withColumn("p_block", F.explode(F.when(F.col("asks"), every(pool_blocks)).otherwise(block(pool_blocks))))
+    kinds = dict(vectors.dtypes)
 
     def kernel(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
         side = cell.column("asks").to_numpy(zero_copy_only=False)
@@ -119,4 +120,4 @@ def best_pairs(asked: DataFrame, pool: DataFrame, group: list[str], k: int = 10,
         return pa.table(out | {"score": pa.array(score, pa.float64())})
 
     schema = f"s1 {kinds['id']}, cand {kinds['id']}, " + ", ".join(f"{g} {kinds[g]}" for g in group) + ", score double"
-    return a.unionByName(p).groupBy(*group, "a_block", "p_block").applyInArrow(kernel, schema)
+    return cells.select(*group, "id", "v", "asks", "bare", "a_block", "p_block").groupBy(*group, "a_block", "p_block").applyInArrow(kernel, schema)

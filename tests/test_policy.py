@@ -113,8 +113,8 @@ def test_block_lists_equal_brute_force(spark, monkeypatch, blocks):
         return [(g, f"{prefix}{i:03d}", [(int(h), float(rng.integers(1, 4))) for h in rng.choice(12, int(rng.integers(0, 6)), replace=False)], i % 5 == 0) for g in "xy" for i in range(n)]
 
     asked, pool = side("a", 30), side("p", 40)
-    schema = "g string, id string, v array<struct<h: long, w: double>>, bare boolean"
-    found = topk.best_pairs(spark.createDataFrame(asked, schema).drop("bare"), spark.createDataFrame(pool, schema), ["g"], 3, 2, 1).collect()
+    schema = "g string, id string, v array<struct<h: long, w: double>>, bare boolean, asks boolean"
+    found = topk.best_pairs(spark.createDataFrame([(*r, True) for r in asked] + [(*r, False) for r in pool], schema), ["g"], 3, 2, 1).collect()
     got = {(r.g, r.s1, r.cand): r.score for r in found}
     every = {(g, a, c): sum(w * dict(v2).get(h, 0) for h, w in v) for g, a, v, _ in asked for g2, c, v2, _ in pool if g == g2}
     every = {k: s for k, s in every.items() if s > 0}
