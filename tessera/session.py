@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -71,6 +72,12 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the exchanges of finished steps now; by itself it waits for the driver's JVM to run short."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows that Spark hands to Python at once where the session leaves that at Spark's default: texts can be long.
 ARROW_ROWS = 2000
 
