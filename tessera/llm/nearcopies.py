@@ -25,7 +25,7 @@ from pyspark.sql.types import BooleanType
 
 from tessera.llm.memo import claim
 from tessera.llm.simhash import components, fingerprint_of, near_links, one_of_each
-from tessera.session import discard, durable, ship, written
+from tessera.session import discard, durable, release, ship, written
 
 WIDTH = 5
 #: Minimum hashes a text is linked by first.
@@ -189,7 +189,9 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         side = lambda n: found.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), F.col(name).alias(f"{n}_{name}"))
         return of.join(side("u"), "u").join(side("v"), "v")
 
+    release(pairs.sparkSession)
     hopeful = durable(sides(pairs, "ranges", ranges_of).where(_may_reach("u_ranges", "v_ranges", "u_n", "v_n")).select("u", "v"))
+    release(pairs.sparkSession)
     return durable(sides(hopeful, "shingles", lambda x: x).where(_near("u_shingles", "v_shingles")).select("u", "v"))
 
 
@@ -207,6 +209,7 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
     stars = durable(keys.join(first, ["at", "key"]).where("node > u").select("u", F.col("node").alias("v")).distinct())
     links = checked(stars, sets)
     roots = durable(components(links))
+    release(spark)
 
     every = max(1, nodes.count() // SAMPLE_TEXTS)
 
@@ -246,6 +249,7 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
     posts = lambda kernel: sets.select("node", "shingles").mapInArrow(kernel, "key long, node long, n int, pos int")
     spans = lambda p, c: p.groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo != hi").select("key")
     twice = durable(spans(posts(prefixes), "node"))
+    release(spark)
     mask = spark.sparkContext.broadcast(mask_of(twice, "key"))
     again = posts(lambda batches: prefixes(batches, mask)).join(twice, "key").distinct()
     shared = durable(again.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
@@ -253,10 +257,13 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
     other = shared.select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "part")])
     room = F.lit(1) + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) - 1
     fits = (F.col("node") < F.col("o_node")) & (F.col("part") != F.col("o_part")) & (5 * F.least("n", "o_n") >= 4 * F.greatest("n", "o_n")) & (9 * room >= 4 * (F.col("n") + F.col("o_n")))
+    release(spark)
     pairs = durable(shared.join(other, "key").where(fits).select(F.col("node").alias("u"), F.col("o_node").alias("v")).distinct())
     links = links.unionByName(checked(pairs, sets))
     discard(sets)
-    return components(links)
+    out = durable(components(links))
+    release(spark)
+    return out
 
 
 def near_copy_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
