@@ -32,6 +32,8 @@ BUCKETS, DIM, NGRAMS = 1 << 16, 8, (3, 4, 5)
 GATE, LEAST, MOST, TOP_WORDS, OTHER_WORDS = 4.0, -6.0, 12.0, 24, 40
 #: Distinct words whose scores a worker remembers.
 MEMO_WORDS = 120_000
+#: Words of the driver's vocabulary whose n-grams are made in one pass.
+RUN_WORDS = 8192
 
 
 def words_of(text: str | None) -> list[str]:
@@ -78,6 +80,16 @@ def subwords(words: list[str], buckets: int = BUCKETS, ngrams: tuple[int, ...] =
     return flat.astype(np.int64), np.cumsum(counts) - counts
 
 
+def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """subwords() of any number of words, RUN_WORDS at a time: a pass takes many times the memory of its result."""
+    runs = []
+    for i in range(0, max(1, len(words)), RUN_WORDS):
+        ids, start = subwords(words[i : i + RUN_WORDS])
+        runs.append((ids.astype(np.int32), np.diff(np.append(start, len(ids)))))
+    size = np.concatenate([x for _, x in runs])
+    return np.concatenate([x for x, _ in runs]), np.cumsum(size) - size
+
+
 def means(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Of the rows of x in each run that starts at start."""
     return np.add.reduceat(x, start, axis=0) / size[:, None] if len(start) else np.zeros((0, x.shape[1]))
@@ -113,8 +125,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, steps: int = 60
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), dtype=np.int64) for t in texts]
-    ids, start = subwords(list(vocabulary))
-    ids = ids.astype(np.int32)
+    ids, start = bags(list(vocabulary))
     size = np.diff(np.append(start, len(ids)))
     emb = rng.uniform(-1, 1, (BUCKETS, DIM + 1)) / DIM  # the last column makes the weight
     emb[:, DIM] = 0
