@@ -35,6 +35,11 @@ SHARD_TOKENS = 1 << 20
 BLOCK = 512
 #: Parts of texts in each of the two generations that a worker remembers; longer ones than MEMO_CHARS are not kept.
 MEMO, MEMO_CHARS = 700_000, 48
+#: Marks that end a part, none a letter, digit or apostrophe; letters that every version of Unicode takes for such, behind
+#: which the pre-tokenizer cuts before a mark; different runs of marks that are remembered.
+END_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha())
+MARKS = 10_000
 
 
 def pack_shard(tokens: np.ndarray, doc_ids: list[int | None], doc_tokens: list[int]) -> bytes:
@@ -186,8 +191,10 @@ class Shard:
 class Encoder:
     """Ids of whole texts by a byte-level BPE tokenizer, with a memory of recurring parts.
 
-    The pre-tokenizer always starts a token at a space between two characters that are no white space, so a text may be
-    cut there and each part encoded by itself. New parts are encoded in runs and told apart by their tokens' bytes.
+    The pre-tokenizer always starts a token at a space or line feed between two characters that are no white space, so a
+    text may be cut there and each part encoded by itself; a line feed stays with the part behind it. It also cuts between
+    a letter and the marks that end a part, so the word is remembered without them and the marks by themselves. New parts
+    are encoded in runs and told apart by their tokens' bytes.
     """
 
     def __init__(self, file: str) -> None:
@@ -204,48 +211,76 @@ class Encoder:
         self.kind = np.dtype("<u2") if len(self.sizes) <= 1 << 16 else np.dtype("<u4")
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of a space and each part; parts have no white space at their ends and are not empty."""
+        """Ids of a space and each part, or of the part alone if it starts with a line feed; parts have no other white space
+        at their ends and are more than that."""
         found = {}
-        for at in range(0, len(parts), 8192):
-            runs = [parts[i : i + 256] for i in range(at, min(at + 8192, len(parts)), 256)]
-            joined = [" " + " ".join(r) for r in runs]
-            for run, text, ids in zip(runs, joined, self.plain(joined)):
-                raw = np.frombuffer(text.encode("utf-8") + b" ", dtype=np.uint8)
-                cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.flatnonzero(raw == 32)[1:]) + 1  # a part has no space
-                ends = (cuts * self.kind.itemsize).tolist()
-                data = ids.tobytes()
-                found.update(zip(run, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        for mark in " \n":
+            some = [p for p in parts if (p[0] == "\n") == (mark == "\n")]
+            for at in range(0, len(some), 8192):
+                runs = [some[i : i + 256] for i in range(at, min(at + 8192, len(some)), 256)]
+                joined = [" " + " ".join(r) if mark == " " else "".join(r) for r in runs]
+                for run, text, ids in zip(runs, joined, self.plain(joined)):
+                    raw = np.frombuffer((text + mark).encode("utf-8"), dtype=np.uint8)
+                    cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.flatnonzero(raw == ord(mark))[1:]) + 1  # a part has no mark within
+                    ends = (cuts * self.kind.itemsize).tolist()
+                    data = ids.tobytes()
+                    found.update(zip(run, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        return found
+
+    def end(self, marks: str) -> bytes:
+        """Ids of marks behind a letter."""
+        found = self.ends.get(marks)
+        if found is None:
+            found = self.plain([marks])[0].tobytes()
+            if len(self.ends) < MARKS:
+                self.ends[marks] = found
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text: one look-up a part, then the batch's new parts are encoded and filled in."""
         get, older = self.memo.get, self.older
-        split, rows, gaps, slow, fresh = [], [], [], set(), {}
+        split, rows, gaps, slow, fresh, marked = [], [], [], set(), {}, {}
         for i, t in enumerate(texts):
-            parts = t.split(" ")
+            parts = t.replace("\n", " \n").split(" ")
             row = list(map(get, parts))
             row[0] = b""
-            gap = [k for k, ids in enumerate(row) if ids is None]
-            for k in gap:
+            gap = []
+            for k in [k for k, ids in enumerate(row) if ids is None]:
                 p = parts[k]
-                if not p or p != p.strip():
-                    slow.add(i)  # white space beside a space: no safe place to cut
-                    break
-                if p in older:
-                    self.memo[p] = row[k] = older[p]
-                else:
-                    fresh[p] = None
+                ids = older.get(p)
+                if ids is None:
+                    word = p.rstrip(END_MARKS)
+                    split_off = len(word) < len(p) and word and word[-1] in LETTERS
+                    known = (get(word) or older.get(word)) if split_off else None
+                    if known is None:
+                        bare = p[1:] if p[:1] == "\n" else p
+                        if not bare or bare != bare.strip():
+                            slow.add(i)  # white space beside a space: no safe place to cut
+                            break
+                        if split_off:
+                            fresh[word] = None
+                            marked[p] = word
+                        else:
+                            fresh[p] = None
+                        gap.append(k)
+                        continue
+                    ids = known + self.end(p[len(word) :])
+                row[k] = ids
+                if len(p) <= MEMO_CHARS:
+                    self.memo[p] = ids
             if parts[0] != parts[0].rstrip():
                 slow.add(i)
             split.append(parts)
             rows.append(row)
             gaps.append(gap)
         new = self.learn(list(fresh))
+        new.update([(p, new[word] + self.end(p[len(word) :])) for p, word in marked.items()])
         self.memo.update(new if max(map(len, new), default=0) <= MEMO_CHARS else {p: ids for p, ids in new.items() if len(p) <= MEMO_CHARS})
         whole = iter(self.plain([t if i in slow else split[i][0] for i, t in enumerate(texts)]))
         out = []
@@ -254,7 +289,7 @@ class Encoder:
             if i not in slow:
                 row[0] = ids.tobytes()
                 for k in gap:
-                    row[k] = row[k] or new[parts[k]]
+                    row[k] = new[parts[k]]
                 ids = np.frombuffer(b"".join(row), dtype=self.kind)
             out.append(ids)
         if len(self.memo) > MEMO:

@@ -509,3 +509,27 @@ def test_pipeline(spark, sf_dir, monkeypatch):
     assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[4] == sizes[3]
     assert last.where("not round_trip").count() == 0
     last.unpersist()
+
+
+def test_words_before_marks(monkeypatch):
+    """A word is encoded once, whatever marks end it and whatever line it begins; ids are the library's."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm import wavelet
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = f.read()
+    encoder, learnt = wavelet.Encoder(file), []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda parts: learnt.extend(parts) or learn(parts))
+    library = Tokenizer.from_str(file)
+    library.encode_special_tokens = True
+    same = lambda texts: all(x.tolist() == library.encode(t, add_special_tokens=False).ids for t, x in zip(texts, encoder.encode(texts)))
+    assert same(["a dog, dog. dog!\ndog dog&&&", "dog dog?"]) and sorted(learnt) == ["\ndog", "dog"]
+    monkeypatch.setattr(wavelet, "MEMO", 40)
+    some = ["a", "Été", "dog", "'s", "'", ",", ".", " ", " ", "  ", "\n", "\n\n", " \n", "\n ", "\t", "\r\n", "\u00a0", "\x1c", "\x85", "7", "½", "ª", "_", "<|endoftext|>", "語", "🙂", "\u0301", "&&&", "\u200b", "don't"]
+    rng = random.Random(5)
+    assert all(same(["".join(rng.choices(some, k=rng.randint(0, 40))) for _ in range(20)]) for _ in range(60))
