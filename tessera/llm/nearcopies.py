@@ -12,6 +12,7 @@ link is checked on the whole sets, so nothing rests on the chance of a minimum h
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,10 @@ MINIMA = 8
 SAMPLE_TEXTS, COMMON = 4000, 1 << 17
 #: Words whose hashes a worker remembers, and hashes in a batch of sets that it hands on.
 MEMO_WORDS, BATCH = 100_000, 1 << 18
+#: Hashes of the sets of a block, about: four megabytes.
+BLOCK = 1 << 19
+#: Rows of postings looked at together, and texts of one key beyond which all of them are kept for the cells.
+POSTINGS, CROWD = 1 << 15, 256
 #: Bits of a mask of keys: two megabytes.
 MASK_BITS = 24
 ODD = np.random.default_rng(7).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,20 +177,24 @@ def passes(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (mask[word] >> bit & np.uint64(1)).astype(bool)
 
 
+def found_in(wanted: DataFrame, sets: DataFrame, name: str, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """(node, n, name) of the distinct wanted nodes: name is what make() gives for their sets."""
+    mask = wanted.sparkSession.sparkContext.broadcast(mask_of(wanted, "node"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(passes(mask.value, b.column("node").to_numpy())))
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), make(b.column("shingles"))], names=["node", "n", name])
+
+    some = sets.select("node", "n", "shingles").mapInArrow(kernel, f"node long, n int, {name} binary")
+    return durable(some.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first(name).alias(name)))
+
+
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the distinct pairs (u, v) of nodes with a Jaccard of at least 0.8."""
 
     def sides(of: DataFrame, name: str, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
-        wanted = of.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        mask = of.sparkSession.sparkContext.broadcast(mask_of(wanted, "node"))
-
-        def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                b = b.filter(pa.array(passes(mask.value, b.column("node").to_numpy())))
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), make(b.column("shingles"))], names=["node", "n", name])
-
-        some = sets.select("node", "n", "shingles").mapInArrow(kernel, f"node long, n int, {name} binary")
-        found = durable(some.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first(name).alias(name)))
+        found = found_in(of.select(F.explode(F.array("u", "v")).alias("node")).distinct(), sets, name, make)
         side = lambda n: found.select(F.col("node").alias(n), F.col("n").alias(f"{n}_n"), F.col(name).alias(f"{n}_{name}"))
         return of.join(side("u"), "u").join(side("v"), "v")
 
@@ -195,6 +204,186 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return durable(sides(hopeful, "shingles", lambda x: x).where(_near("u_shingles", "v_shingles")).select("u", "v"))
 
 
+def meeting(key: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which postings, in order of their keys, have one of another part at their key that they may reach 0.8 with.
+
+    If texts of n and m have their first shared key at i and j, n - i and m - j are at least 4 (n + m) / 9. Beyond CROWD texts
+    of a key, all are kept.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, len(key)))
+    mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+    keep = np.repeat(mixed & (sizes > CROWD), sizes)
+    left = np.repeat(np.where(mixed & (sizes <= CROWD), starts + sizes, 0), sizes)  # ends of the keys to look at
+    i, room, d = np.flatnonzero(left), n - pos, 1
+    while len(i := i[i + d < left[i]]):
+        j = i + d
+        both = n[i] + n[j]
+        ok = (part[i] != part[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j])) & (9 * np.minimum(room[i], room[j]) >= 4 * both)
+        keep[i[ok]] = True
+        keep[j[ok]] = True
+        d += 1
+    return keep
+
+
+def partnered(rows: DataFrame) -> DataFrame:
+    """The distinct postings (key, node, n, pos, part) that meeting() keeps."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def kept(columns: list[np.ndarray]) -> pa.RecordBatch:
+            key, node = columns[:2]
+            once = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            key, node, n, pos, part = (c[once] for c in columns)
+            keep = meeting(key, n.astype(np.int64), pos.astype(np.int64), part)
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, node, n, pos, part)], names=names)
+
+        names, held, size = ["key", "node", "n", "pos", "part"], [], 0
+        for b in batches:
+            held.append([b.column(c).to_numpy() for c in names])
+            size += b.num_rows
+            if size >= POSTINGS:
+                columns = [np.concatenate(c) for c in zip(*held)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on
+                if cut:
+                    yield kept([c[:cut] for c in columns])
+                held = [[c[cut:] for c in columns]]
+                size = 0
+        if held and any(len(h[0]) for h in held):
+            yield kept([np.concatenate(c) for c in zip(*held)])
+
+    return rows.select("key", "node", "n", "pos", "part").repartition("key").sortWithinPartitions("key", "node").mapInArrow(kernel, "key long, node long, n int, pos int, part long")
+
+
+def cells_of(shared: DataFrame) -> DataFrame:
+    """Distinct (lo, hi, node, home, part): the texts of every cell, of shared (key, node, n, pos, part).
+
+    A text's home is the most frequent of its keys, and a block of that. For each key, a text enters the cells of its own
+    block and those blocks where some text may reach 0.8 with it by size and place.
+    """
+    rows = shared.withColumn("most", F.floor((9 * (F.col("n") - F.col("pos")) - 4 * F.col("n")) / 4))  # the other's size
+    sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    homes = durable(shared.join(sizes, "key").groupBy("node").agg(F.max(F.struct("c", F.col("key").alias("at")))["at"].alias("at"), F.first("n").alias("n")))
+    release(shared.sparkSession)
+    blocks = homes.groupBy("at").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    homes = homes.join(blocks, "at").select("node", F.xxhash64("at", F.pmod(F.xxhash64("node"), "blocks")).alias("home"))
+    rows = durable(rows.join(homes, "node").select("key", "node", "n", "most", "part", "home"))
+    sides = rows.groupBy("key", "home").agg(*[f(c).alias(f"o_{f.__name__}_{c}") for f, c in ((F.min, "n"), (F.max, "n"), (F.max, "most"), (F.min, "part"), (F.max, "part"))])
+    near = (F.col("o_min_n") <= F.col("most")) & (F.col("n") <= F.col("o_max_most")) & (5 * F.col("o_max_n") >= 4 * F.col("n")) & (5 * F.col("n") >= 4 * F.col("o_min_n"))
+    other = (F.col("o_min_part") != F.col("part")) | (F.col("o_max_part") != F.col("part"))
+    met = rows.join(sides.withColumnRenamed("home", "o_home"), "key").where(near & other)
+    return met.select(F.least("home", "o_home").alias("lo"), F.greatest("home", "o_home").alias("hi"), "node", "home", "part").distinct()
+
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell (lo, hi), of batches sorted by cell."""
+    held, now = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lo, hi = b.column("lo").to_numpy(), b.column("hi").to_numpy()
+        starts = [0, *(np.flatnonzero((lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1).tolist(), len(lo)]
+        for i, j in zip(starts, starts[1:]):
+            if held and now != (lo[i], hi[i]):
+                yield pa.Table.from_batches(held)
+                held = []
+            now = (lo[i], hi[i])
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def windows(n: np.ndarray, home: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For a cell's texts, of sizes n in ascending order: each text with those after it in its reach by size and, where the
+    cell has two blocks, of the other block."""
+    ends = np.searchsorted(4 * n, 5 * n, side="right")
+    for i, end in enumerate(ends.tolist()):
+        after = np.arange(i + 1, end)
+        if lo != hi and len(after):
+            after = after[home[i + 1 : end] != home[i]]
+        if len(after):
+            yield i, after
+
+
+def _cell(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, int, int]:
+    table = table.sort_by("n")
+    return table, table.column("n").to_numpy().astype(np.int64), table.column("home").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+
+
+def hopeful_in(table: pa.Table) -> np.ndarray:
+    """Nodes of a cell (with their ranges) that may reach 0.8 with some other part's."""
+    table, n, home, lo, hi = _cell(table)
+    part = table.column("part").to_numpy()
+    ranges = np.frombuffer(b"".join(table.column("ranges").to_pylist()), dtype=np.uint8).reshape(-1, 256)
+    keep = np.zeros(len(n), dtype=bool)
+    for i, after in windows(n, home, lo, hi):
+        after = after[part[after] != part[i]]
+        for at in range(0, len(after), 4096):
+            some = after[at : at + 4096]
+            both = np.minimum(ranges[i], ranges[some])
+            may = some[(9 * both.sum(axis=1, dtype=np.int64) >= 4 * (n[i] + n[some])) | (both.max(axis=1) == 255)]
+            keep[may] = True
+            keep[i] |= bool(len(may))
+    return table.column("node").to_numpy()[keep]
+
+
+def links_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the parts of a cell (with their shingles) over all pairs that reach 0.8."""
+    table, n, home, lo, hi = _cell(table)
+    sets = [np.frombuffer(x.as_buffer(), dtype="<u8") for x in chain.from_iterable(table.column("shingles").chunks)]
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(n)])
+    label = np.unique(table.column("part").to_numpy(), return_inverse=True)[1]
+    mark = np.zeros(len(code) and int(code.max()) + 1, dtype=np.int32)
+    us, vs = [], []
+    for i, after in windows(n, home, lo, hi):
+        after = after[label[after] != label[i]]
+        if not len(after):
+            continue
+        own = code[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        at = 0
+        while at < len(after):
+            end = max(at + 1, int(np.searchsorted(np.cumsum(n[after[at:]]), BLOCK)) + at)
+            some = after[at:end]
+            common = np.add.reduceat(mark[np.concatenate([code[starts[j] : starts[j + 1]] for j in some])], np.concatenate([[0], np.cumsum(n[some])[:-1]]))
+            for j in some[9 * common.astype(np.int64) >= 4 * (n[i] + n[some])]:
+                if label[j] != label[i]:
+                    us.append(i)
+                    vs.append(j)
+                    label[label == label[j]] = label[i]
+            at = end
+        mark[own] = 0
+    node = table.column("node").to_numpy()
+    return node[us], node[vs]
+
+
+def linked(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that join all parts of shared (key, node, n, pos, part) between which some pair reaches 0.8."""
+    spark = shared.sparkSession
+
+    def dealt(cells: DataFrame, name: str, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
+        release(spark)
+        data = found_in(cells.select("node").distinct(), sets, name, make)
+        return cells.join(data, "node").repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in by_cell(batches):
+            nodes = hopeful_in(cell)
+            if len(nodes):
+                some = cell.select(["lo", "hi", "node", "home", "part"]).filter(pa.array(np.isin(cell.column("node").to_numpy(), nodes)))
+                yield from some.combine_chunks().to_batches()
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in by_cell(batches):
+            u, v = links_in(cell)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    cells = durable(cells_of(shared))
+    hopeful = durable(dealt(cells, "ranges", ranges_of).mapInArrow(kept, "lo long, hi long, node long, home long, part long"))
+    return durable(dealt(hopeful, "shingles", lambda x: x).mapInArrow(joined, "u long, v long"))
+
+
 def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, root) of every node (node_column()) that has a near copy other than itself."""
     spark = df.sparkSession
@@ -247,19 +436,15 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     # the postings are made twice rather than kept: to find keys of several nodes, and again for those keys alone
     posts = lambda kernel: sets.select("node", "shingles").mapInArrow(kernel, "key long, node long, n int, pos int")
-    spans = lambda p, c: p.groupBy("key").agg(F.min(c).alias("lo"), F.max(c).alias("hi")).where("lo != hi").select("key")
-    twice = durable(spans(posts(prefixes), "node"))
+    twice = durable(posts(prefixes).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key"))
     release(spark)
     mask = spark.sparkContext.broadcast(mask_of(twice, "key"))
-    again = posts(lambda batches: prefixes(batches, mask)).join(twice, "key").distinct()
-    shared = durable(again.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
-    shared = durable(shared.join(spans(shared, "part"), "key"))
-    other = shared.select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "pos", "part")])
-    room = F.lit(1) + F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos")) - 1
-    fits = (F.col("node") < F.col("o_node")) & (F.col("part") != F.col("o_part")) & (5 * F.least("n", "o_n") >= 4 * F.greatest("n", "o_n")) & (9 * room >= 4 * (F.col("n") + F.col("o_n")))
+    del twice
+    shared = durable(partnered(posts(lambda batches: prefixes(batches, mask)).withColumn("part", F.col("node"))))
+    release(spark)
+    shared = durable(partnered(shared.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))))
     release(spark)
-    pairs = durable(shared.join(other, "key").where(fits).select(F.col("node").alias("u"), F.col("o_node").alias("v")).distinct())
-    links = links.unionByName(checked(pairs, sets))
+    links = links.unionByName(linked(shared, sets))
     discard(sets)
     out = durable(components(links))
     release(spark)
