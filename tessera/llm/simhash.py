@@ -240,7 +240,9 @@ def one_of_each(df: DataFrame, node: Column, roots: DataFrame, id_col: str, text
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"), F.xxhash64(*plain).alias("all"))
     rows = df.select(node.alias("sh_node"), order.alias("sh_order"), F.struct(*[F.col(c) for c in df.columns]).alias("sh_row"))
     linked = roots.select(F.col("node").alias("sh_node"), F.col("root").alias("sh_root"))
-    firsts = durable(rows.select("sh_node", "sh_order").join(linked, "sh_node").groupBy("sh_root", "sh_node").agg(F.min("sh_order").alias("sh_order")))
+    # the join's filter for nulls would make node a second time below it, with a second Python worker a task
+    ordered = durable(rows.select("sh_node", "sh_order"))
+    firsts = durable(ordered.join(linked, "sh_node").groupBy("sh_root", "sh_node").agg(F.min("sh_order").alias("sh_order")))
     best = firsts.groupBy("sh_root").agg(F.min(F.struct("sh_order", "sh_node")).alias("sh_best")).select("sh_root", F.col("sh_best.sh_node").alias("sh_first"))
     losers = firsts.join(best, "sh_root").where("sh_node != sh_first").select("sh_node")
     return rows.groupBy("sh_node").agg(F.min_by("sh_row", "sh_order").alias("sh_row")).join(losers, "sh_node", "left_anti").select("sh_row.*")

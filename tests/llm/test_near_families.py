@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pandas as pd
+from pyspark.sql.functions import pandas_udf
 
-from tessera.llm import nearcopies
+from tessera.llm import nearcopies, simhash
+from tessera.session import durable
 
 
 def families(sizes, edits, words=120):
@@ -91,3 +94,21 @@ def test_meeting_postings(monkeypatch):
     assert want.any() and not want.all() and (got == want).all()
     monkeypatch.setattr(nearcopies, "CROWD", 4)
     assert (nearcopies.meeting(key, n, pos, part) >= want).all()
+
+
+def test_a_pass_over_the_texts_makes_each_node_once(spark):
+    texts = [f"text {i // 2}" for i in range(40)]
+    made = spark.sparkContext.accumulator(0)
+
+    @pandas_udf("long")
+    def node(column: pd.Series) -> pd.Series:
+        made.add(len(column))
+        return column.str.len() * 100 + column.str.split().str[1].astype("int64")
+
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    nodes = [(100 * len(t) + int(t.split()[1]),) * 2 for t in sorted(set(texts))]
+    roots = durable(spark.createDataFrame([(node, nodes[0][1]) if node < 608 else (node, node) for node, _ in nodes], "node long, root long"))
+    made.value = 0
+    found = simhash.one_of_each(docs, node("text"), roots, "doc_id", "text").collect()
+    assert sorted(r.doc_id for r in found) == [0, *range(16, 40, 2)]
+    assert made.value == 2 * len(texts)  # once for the order of the rows and once for the rows themselves
