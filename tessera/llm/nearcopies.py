@@ -12,13 +12,13 @@ link is checked on the whole sets, so nothing rests on the chance of a minimum h
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -39,7 +39,9 @@ MEMO_WORDS, BATCH = 100_000, 1 << 18
 BLOCK = 1 << 19
 #: Rows of postings looked at together, and texts of one key beyond which all of them are kept for the cells.
 POSTINGS, CROWD = 1 << 15, 256
-#: Bits of a mask of keys: two megabytes.
+#: Turns in which the postings are dealt by key, cells of texts by cell: one moves a TURNS-th of the bytes of all sets, or ROOM.
+KEY_TURNS, TURNS, ROOM = 2, 8, 1 << 26
+#: Bits of a mask of nodes: two megabytes.
 MASK_BITS = 24
 ODD = np.random.default_rng(7).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -357,14 +359,34 @@ def links_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return node[us], node[vs]
 
 
-def linked(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) that join all parts of shared (key, node, n, pos, part) between which some pair reaches 0.8."""
+def in_turns(turns: int, make: Callable[[int], DataFrame]) -> DataFrame:
+    """The rows of make(0) to make(turns - 1), each cut off before the next one's exchanges are written."""
+    out = []
+    for turn in range(turns):
+        out.append(durable(make(turn)))
+        release(out[0].sparkSession)
+    return reduce(DataFrame.unionByName, out)
+
+
+def linked(shared: DataFrame, sets: DataFrame, room: int) -> DataFrame:
+    """Links (u, v) that join all parts of shared (key, node, n, pos, part) between which some pair reaches 0.8.
+
+    room: bytes of sets that are dealt to cells at once, about.
+    """
     spark = shared.sparkSession
 
-    def dealt(cells: DataFrame, name: str, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    def dealt(cells: DataFrame, name: str, make: Callable[[pa.Array], pa.Array], kernel: Callable, schema: str) -> DataFrame:
         release(spark)
         data = found_in(cells.select("node").distinct(), sets, name, make)
-        return cells.join(data, "node").repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+        held = cells.join(data.select("node", F.length(name).alias("bytes")), "node").agg(F.sum("bytes")).first()[0] or 0
+        turns = max(1, -(-held // room))
+        release(spark)
+
+        def turn(t: int) -> DataFrame:
+            own = cells.where(F.pmod(F.xxhash64("lo", "hi"), F.lit(turns)) == t)
+            return own.join(data, "node").repartition("lo", "hi").sortWithinPartitions("lo", "hi").mapInArrow(kernel, schema)
+
+        return in_turns(turns, turn)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in by_cell(batches):
@@ -380,8 +402,8 @@ def linked(shared: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     cells = durable(cells_of(shared))
-    hopeful = durable(dealt(cells, "ranges", ranges_of).mapInArrow(kept, "lo long, hi long, node long, home long, part long"))
-    return durable(dealt(hopeful, "shingles", lambda x: x).mapInArrow(joined, "u long, v long"))
+    hopeful = dealt(cells, "ranges", ranges_of, kept, "lo long, hi long, node long, home long, part long")
+    return dealt(hopeful, "shingles", lambda x: x, joined, "u long, v long")
 
 
 def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -400,7 +422,8 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
     roots = durable(components(links))
     release(spark)
 
-    every = max(1, nodes.count() // SAMPLE_TEXTS)
+    texts, hashes = nodes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    every = max(1, texts // SAMPLE_TEXTS)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -413,7 +436,7 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
     order = np.argsort(known)
     common = spark.sparkContext.broadcast((known[order], counts[order]))
 
-    def prefixes(batches: Iterator[pa.RecordBatch], mask: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         known, counts = common.value
         for b in batches:
             found = []
@@ -425,26 +448,19 @@ def near_copy_roots(df: DataFrame, text_col: str = "text") -> DataFrame:
                     rank = np.where(known[at] == h, counts[at], 0)
                 n = len(h)
                 took = h[np.lexsort((h, rank))][: n - least_common(n) + 1]
-                k = len(took)
-                place = np.arange(k, dtype=np.int32)
-                if mask is not None:
-                    may = passes(mask.value, took)
-                    took, place = took[may], place[may]
+                place = np.flatnonzero(took % np.uint64(KEY_TURNS) == turn).astype(np.int32)  # by low bits: a prefix holds small hashes
+                took = took[place]
                 found.append((took.view(np.int64), np.full(len(took), node.as_py()), np.full(len(took), n, dtype=np.int32), place))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["key", "node", "n", "pos"])
 
-    # the postings are made twice rather than kept: to find keys of several nodes, and again for those keys alone
-    posts = lambda kernel: sets.select("node", "shingles").mapInArrow(kernel, "key long, node long, n int, pos int")
-    twice = durable(posts(prefixes).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key"))
-    release(spark)
-    mask = spark.sparkContext.broadcast(mask_of(twice, "key"))
-    del twice
-    shared = durable(partnered(posts(lambda batches: prefixes(batches, mask)).withColumn("part", F.col("node"))))
+    # the postings are made once a turn rather than kept, and a turn's keys have all of their postings in it
+    posts = lambda t: sets.select("node", "shingles").mapInArrow(lambda batches: prefixes(batches, t), "key long, node long, n int, pos int")
     release(spark)
+    shared = in_turns(KEY_TURNS, lambda t: partnered(posts(t).withColumn("part", F.col("node"))))
     shared = durable(partnered(shared.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))))
     release(spark)
-    links = links.unionByName(linked(shared, sets))
+    links = links.unionByName(linked(shared, sets, max(ROOM, 8 * (hashes or 0) // TURNS)))
     discard(sets)
     out = durable(components(links))
     release(spark)

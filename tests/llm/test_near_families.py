@@ -72,6 +72,29 @@ def test_families_over_several_blocks(spark, monkeypatch):
     assert len(set(want.values())) < len(want)
 
 
+def test_cells_are_dealt_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 1500)
+    monkeypatch.setattr(nearcopies, "ROOM", 1 << 15, raising=False)
+    monkeypatch.setattr(nearcopies, "TURNS", 1 << 20, raising=False)
+    moved, durable = [], nearcopies.durable
+    now = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+    def weighing(df):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        before, out = now(), durable(df)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        moved.append(now() - before)
+        return out
+
+    monkeypatch.setattr(nearcopies, "durable", weighing)
+    texts = families([150], (3, 4), 170)
+    found = {r["node"]: r["root"] for r in nearcopies.near_copy_roots(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    want = brute(texts)
+    assert {x: found.get(x, x) for x in want} == want
+    whole = sum(8 * len(nearcopies.shingle_set(t)) for t in texts)
+    assert max(moved) < whole / 2, (whole, moved)
+
+
 def test_cells_on_hand_made_sizes():
     n = np.array([10, 12, 13, 100, 125, 126])
     reach = {i: after.tolist() for i, after in nearcopies.windows(n, np.zeros(6, dtype=np.int64), 1, 1)}
